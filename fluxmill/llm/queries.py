@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxmill.llm import bpe, media
+from fluxmill.llm import bpe, media, quality, simhash
 from fluxmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,14 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("distance")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_documents(docs, vocabulary_path(), digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -27,6 +35,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), digests=True)
 
 
-QUERIES: dict[str, Query] = {"op9_bpe": op9_bpe, "op10_media": op10_media}
+QUERIES: dict[str, Query] = {"op4_simhash": op4_simhash, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_media": op10_media}
 
 ORACLE: dict[str, str] = {}
