@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxmill.llm import bpe, media, quality, simhash, warc
+from fluxmill.llm import bpe, media, mixing, quality, simhash, warc
 from fluxmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), digests=True)
 
 
-QUERIES: dict[str, Query] = {"op6_warc": op6_warc, "op4_simhash": op4_simhash, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_media": op10_media}
+QUERIES: dict[str, Query] = {"op3_mixing": op3_mixing, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_media": op10_media}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
