@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxmill.llm import bpe, media, mixing, quality, simhash, warc
+from fluxmill.llm import bpe, langid, media, mixing, quality, simhash, warc
 from fluxmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.references(docs))
+    return found.select("doc_id", langid.held_out(found["doc_id"]).alias("held_out"), "lang_pred", found["lang_score"].alias("score"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -44,7 +50,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), digests=True)
 
 
-QUERIES: dict[str, Query] = {"op3_mixing": op3_mixing, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_media": op10_media}
+QUERIES: dict[str, Query] = {"op1_langid": op1_langid, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_media": op10_media}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
