@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxmill.llm import bpe, langid, media, mixing, quality, simhash, toxicity, warc
+from fluxmill.llm import bpe, langid, lm, media, mixing, quality, simhash, toxicity, warc
 from fluxmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(found["doc_id"]).alias("held_out"), "lang_pred", found["lang_score"].alias("score"))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -56,7 +61,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), digests=True)
 
 
-QUERIES: dict[str, Query] = {"op7_toxicity": op7_toxicity, "op1_langid": op1_langid, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_media": op10_media}
+QUERIES: dict[str, Query] = {"op2_lm": op2_lm, "op7_toxicity": op7_toxicity, "op1_langid": op1_langid, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_media": op10_media}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
