@@ -20,9 +20,11 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -262,8 +264,8 @@ class Tokenizer:
         self.tokens = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.added.items()}
         self.decoder = (spec["decoder"] or {}).get("type")
         self._machine = Decoder(self.tokens, self.decoder)
-        self._young: dict[str, tuple[str, int, str]] = {}
-        self._old: dict[str, tuple[str, int, str]] = {}
+        self._young: dict[str | int, tuple[str, int, str, bytes]] = {}
+        self._old: dict[str | int, tuple[str, int, str, bytes]] = {}
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
@@ -299,25 +301,30 @@ class Tokenizer:
     def decode(self, ids: Iterable[int]) -> str:
         return self._machine.feed(ids) + self._machine.finish()
 
-    def _entry(self, chunk: str | int) -> tuple[str, int, str]:
-        """Rendered ids, their number and their decoded text, held for frequent chunks (two bounded generations)."""
+    def _entry(self, chunk: str | int) -> tuple[str, int, str, bytes]:
+        """A chunk's ids in decimal, their number, decoded text and packed ids, held for frequent chunks (two bounded generations)."""
         got = self._old.get(chunk)
         if got is None:
             ids = [chunk] if isinstance(chunk, int) else self.chunk_ids(chunk)
-            got = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+            got = (" ".join(map(str, ids)), len(ids), self.decode(ids), array("i", ids).tobytes())
         if len(self._young) >= _GENERATION:
             self._old, self._young = self._young, {}
         self._young[chunk] = got
         return got
 
+    def entries(self, text: str | None) -> list[tuple[str, int, str, bytes]]:
+        get, entry = self._young.get, self._entry
+        return [get(c) or entry(c) for c in self._chunks(text or "")]
+
+    def packed(self, text: str | None) -> bytes:
+        """The ids as native 32-bit integers."""
+        return b"".join([p[3] for p in self.entries(text)])
+
     def rendered(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, the ids in decimal joined by spaces, and the decoded text."""
-        get, entry = self._young.get, self._entry
-        parts = [get(c) or entry(c) for c in self._chunks(text or "")]
-        if self.decoder is None:
-            return sum(p[1] for p in parts), " ".join([p[0] for p in parts]), " ".join([p[2] for p in parts])
-        ids = " ".join([p[0] for p in parts])
-        return sum(p[1] for p in parts), ids, self.decode(map(int, ids.split()))
+        parts = self.entries(text)
+        n, ids = sum([p[1] for p in parts]), " ".join([p[0] for p in parts])
+        return n, ids, " ".join([p[2] for p in parts]) if self.decoder is None else self.decode(map(int, ids.split()))
 
 
 _loaded: dict[bytes, Tokenizer] = {}
@@ -357,7 +364,8 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", output:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(shared.value)
-        for batch in batches:
+        # a slice's ids stay far below the 2^31 that one list array can hold
+        for batch in (whole.slice(k, 1024) for whole in batches for k in range(0, max(whole.num_rows, 1), 1024)):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             kept_columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             if digests:
@@ -367,7 +375,9 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", output:
                     rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
                 cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
             else:
-                cols = [pa.array([tok.encode(t) for t in texts], pa.list_(pa.int32()))]
+                parts = [tok.packed(t) for t in texts]
+                ends = np.cumsum([0, *(len(x) // 4 for x in parts)], dtype=np.int32)
+                cols = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))]
             yield pa.RecordBatch.from_arrays(kept_columns + cols, kept + [n for n, _ in added])
 
     return source.mapInArrow(run, schema)
