@@ -1,3 +1,366 @@
-"""Registered batch queries, keyed as in SURVEY section 7.6."""
+"""Registered queries, keyed as in SURVEY section 7.6; each returns deterministic columns only."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fluxmill.config import Env, Geofence
+from fluxmill.functions.scalars import capacity_tons, in_geofence, tumbling
+from fluxmill.operators import dedup, gold, merge, silver
+from fluxmill.plans import verify
+from fluxmill.plans.migrate import Runner
+from fluxmill.plans.statements import Executor, columns_view, split_statements
+from fluxmill.schemas import ACTIVITY, POSITION, SILVER
+from fluxmill.sources import landing
+from fluxmill.sources.pings import derived_raw, derived_trucks
+from fluxmill.streaming.files import Files, scratch
+from fluxmill.streaming.medallion import Medallion
+from fluxmill.streaming.runner import run_available_now
+from fluxmill.streaming.storage import AppendTable, SnapshotTable
+
+FENCE = Geofence()
+POSITIONS = ["truck_id", "last_event_ts", "latitude", "longitude", "make", "model", "capacity_lbs", "home_depot", "region", "driver"]
+WINDOWS = ["region", "window_start", "window_end", "ping_count", "truck_count"]
+
+
+def naive(df: DataFrame) -> DataFrame:
+    """Instants as UTC wall-clock times, which other engines call TIMESTAMP."""
+    return df.select(*[F.to_utc_timestamp(f.name, F.current_timezone()).cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name) for f in df.schema])
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = derived_raw(spark, sf_dir).withColumns({"_source_file": F.lit("events"), "_ingested_at": F.lit("2024-02-01 00:00:00").cast("timestamp")})
+    return silver.typed(raw)
+
+
+def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver as a batch: valid pings, one for each key."""
+    rows = silver.clean_rows(judged(spark, sf_dir)).drop("_processed_at", "_ingested_at", "_source_file")
+    return dedup.any_per_key(rows, ["ping_id"])
+
+
+def trucks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived_trucks(spark, sf_dir)
+
+
+def silver_clean(spark, sf_dir):
+    return naive(clean(spark, sf_dir))
+
+
+def reject_reason_counts(spark, sf_dir):
+    return judged(spark, sf_dir).groupBy(F.coalesce("reject_reason", F.lit("clean")).alias("reject_reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def quarantine_rows(spark, sf_dir):
+    """Rejects by their payload: a number's text differs between engines, so the hash of it isn't compared."""
+    rows = silver.rejected_rows(judged(spark, sf_dir))
+    return dedup.any_per_key(rows.drop("_quarantined_at"), ["reject_id"]).drop("reject_id", "_source_file")
+
+
+def current_position(spark, sf_dir):
+    return naive(gold.current_position(clean(spark, sf_dir), trucks(spark, sf_dir), FENCE).select(*POSITIONS))
+
+
+def current_position_geofenced(spark, sf_dir):
+    return naive(gold.current_position(clean(spark, sf_dir), trucks(spark, sf_dir), FENCE).select("truck_id", "last_event_ts", "in_geofence", "geofence_name"))
+
+
+def geofence_counts(spark, sf_dir):
+    at = gold.latest_position(clean(spark, sf_dir)).select(F.lit(FENCE.name).alias("geofence_name"), in_geofence(FENCE).alias("in_geofence"))
+    return at.groupBy("geofence_name", "in_geofence").agg(F.count(F.lit(1)).alias("trucks"))
+
+
+def region_activity_5m(spark, sf_dir):
+    return naive(gold.region_activity(clean(spark, sf_dir), trucks(spark, sf_dir)).select(*WINDOWS))
+
+
+def region_activity_recompute(spark, sf_dir):
+    """Silver grows in three parts; after each, only the windows it touched are recomputed."""
+    root = scratch(spark, "recompute")
+    rows = clean(spark, sf_dir)
+    table = AppendTable.create(spark, f"{root}/silver", SILVER.schema, SILVER.keys)
+    out = SnapshotTable.create(spark, f"{root}/activity", ACTIVITY.schema, ACTIVITY.keys)
+    part = F.pmod(F.xxhash64("ping_id"), F.lit(3))
+    for k in range(3):
+        table.append(rows.where(part == k), f"part-{k}")
+        batch = table.read().where(part == k)
+        out.merge_upsert(gold.recompute_touched(batch, table.read(), trucks(spark, sf_dir)))
+    return naive(out.read().select(*WINDOWS))
+
+
+def capacity(spark, sf_dir):
+    return trucks(spark, sf_dir).select("truck_id", "capacity_lbs", capacity_tons().alias("capacity_tons"))
+
+
+def _merge_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    number = F.substring("truck_id", 5, 6).cast("int")
+    t = trucks(spark, sf_dir).select("truck_id", "capacity_lbs", "region", number.alias("k"))
+    target = t.where("k % 2 = 0").select("truck_id", "capacity_lbs", "region")
+    source = t.where("k % 3 = 0").select("truck_id", (F.col("capacity_lbs") + 1).alias("capacity_lbs"), F.upper("region").alias("region"))
+    return target, source
+
+
+def merge_insert_only(spark, sf_dir):
+    target, source = _merge_sides(spark, sf_dir)
+    return target.unionByName(merge.insert_only(target, source, ["truck_id"]))
+
+
+def merge_upsert(spark, sf_dir):
+    target, source = _merge_sides(spark, sf_dir)
+    return merge.upsert(target, source, ["truck_id"])
+
+
+def merge_sequence_guard(spark, sf_dir):
+    """Positions from two overlapping sets of pings: an older one never replaces a newer one."""
+    rows = clean(spark, sf_dir)
+    second = F.second("event_ts")
+    target = gold.latest_position(rows.where(second < 40))
+    source = gold.latest_position(rows.where(second >= 20)).withColumn("latitude", F.col("latitude") + 1)
+    return naive(merge.upsert(target, source, ["truck_id"], "last_event_ts"))
+
+
+def merge_tolerant_columns(spark, sf_dir):
+    """The source has a column the target lacks, and lacks one the target has."""
+    target, source = _merge_sides(spark, sf_dir)
+    return merge.upsert(target, source.drop("region").withColumn("later", F.lit("x")), ["truck_id"])
+
+
+def dedup_ordered(spark, sf_dir):
+    rows = clean(spark, sf_dir).select("truck_id", "event_date", "event_ts", "latitude", "longitude")
+    return naive(dedup.latest_per_key(rows, ["truck_id", "event_date"], "event_ts", ["latitude", "longitude"]))
+
+
+def dedup_any(spark, sf_dir):
+    raw = derived_raw(spark, sf_dir).select("truck_id", "latitude", "longitude", "event_ts").where("event_ts IS NOT NULL")
+    return dedup.any_per_key(raw, ["truck_id", "event_ts"]).select("truck_id", "event_ts")
+
+
+def bronze_report(spark, sf_dir):
+    raw = derived_raw(spark, sf_dir)
+    return raw.agg(F.count(F.lit(1)).alias("bronze_rows"), F.countDistinct("truck_id").alias("trucks"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
+
+
+def _views(spark, sf_dir) -> SparkSession:
+    """A session of its own whose views are the medallion tables of the batch."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = judged(own, sf_dir)
+    views = {
+        "bronze_pings_raw": derived_raw(own, sf_dir),
+        "silver_pings": clean(own, sf_dir),
+        "silver_pings_quarantine": dedup.any_per_key(silver.rejected_rows(rows).drop("_quarantined_at"), ["reject_id"]),
+        "truck_details": trucks(own, sf_dir),
+        "gold_truck_current_position": gold.current_position(clean(own, sf_dir), trucks(own, sf_dir), FENCE).drop("_updated_at"),
+        "gold_region_activity_5m": gold.region_activity(clean(own, sf_dir), trucks(own, sf_dir)).drop("_updated_at"),
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return own
+
+
+def medallion_counts(spark, sf_dir):
+    return _views(spark, sf_dir).sql(verify.SQL["medallion_counts"])
+
+
+def dedup_proof(spark, sf_dir):
+    return _views(spark, sf_dir).sql(verify.SQL["dedup_proof"])
+
+
+def latest_positions_top20(spark, sf_dir):
+    return naive(_views(spark, sf_dir).sql(verify.SQL["latest_positions"]))
+
+
+def activity_top20(spark, sf_dir):
+    return naive(_views(spark, sf_dir).sql(verify.SQL["activity"]))
+
+
+def _positions(spark, sf_dir, label: str) -> SnapshotTable:
+    """Positions as the first migration knows them, in a table of their own."""
+    table = SnapshotTable.create(spark, f"{scratch(spark, label)}/position", POSITION.schema, POSITION.keys)
+    table.merge_upsert(gold.current_position(clean(spark, sf_dir), trucks(spark, sf_dir), FENCE))
+    return table
+
+
+def backfill_update(spark, sf_dir):
+    """Add columns, then fill them where they are null."""
+    table = _positions(spark, sf_dir, "backfill")
+    table.add_columns(T.StructType([T.StructField("in_geofence", T.BooleanType()), T.StructField("capacity_tons", T.DoubleType())]))
+    table.update({"in_geofence": in_geofence(FENCE)}, F.col("in_geofence").isNull())
+    table.update({"capacity_tons": capacity_tons()}, F.col("capacity_tons").isNull())
+    return table.read().select("truck_id", "in_geofence", "capacity_tons")
+
+
+def delete_by_key(spark, sf_dir):
+    table = _positions(spark, sf_dir, "delete")
+    table.delete(F.col("truck_id").isin("TRK-000001", "TRK-000002", "TRK-000005"))
+    return naive(table.read().select("truck_id", "last_event_ts"))
+
+
+def drop_column(spark, sf_dir):
+    table = _positions(spark, sf_dir, "drop")
+    table.drop_columns(["make", "model", "_updated_at", "driver"])
+    table.rename_column("home_depot", "depot")
+    return naive(table.read())
+
+
+def restore_version(spark, sf_dir):
+    """A delete of everything, taken back."""
+    table = _positions(spark, sf_dir, "restore")
+    good = table.version
+    table.delete(F.lit(True))
+    table.restore(good)
+    return table.read().select("truck_id", "region")
+
+
+def _land(spark, rows: DataFrame, folder: str, files: int) -> None:
+    """Raw pings as JSON lines in ``files`` files, in the order of their events."""
+    line = F.to_json(F.struct("truck_id", "latitude", "longitude", "event_ts"), {"ignoreNullFields": "false"})
+    rows.repartitionByRange(files, "event_id").sortWithinPartitions("event_id", "copy").select(line.alias("value")).write.mode("append").text(folder)
+
+
+def _environment(spark, sf_dir, label: str, **options) -> Medallion:
+    env = Env(scratch(spark, label))
+    Runner(spark, env).run()
+    m = Medallion(spark, env, **options)
+    m.seed_trucks(trucks(spark, sf_dir))
+    return m
+
+
+def _streamed(spark, sf_dir, label: str, **options) -> Medallion:
+    m = _environment(spark, sf_dir, label, **options)
+    _land(spark, derived_raw(spark, sf_dir), m.env.landing_path, 4)
+    m.run()
+    return m
+
+
+def stream_bronze_silver_gold(spark, sf_dir):
+    """The three streams in two micro-batches each; then how many rows each table has, and the pings its windows count."""
+    m = _streamed(spark, sf_dir, "stream", max_files=2)
+    own = m.env
+    counts = verify.query(spark, own, "medallion_counts").where("tbl <> 'truck_details'")
+    pings = m.snapshot(ACTIVITY).read().select(F.lit("window_pings").alias("tbl"), "ping_count").groupBy("tbl").agg(F.sum("ping_count").alias("n"))
+    return counts.unionByName(pings)
+
+
+def late_data_window(spark, sf_dir):
+    """Newest files first, one a batch: windows end up as if in order."""
+    m = _streamed(spark, sf_dir, "late-window", max_files=1, newest_first=True)
+    return naive(m.snapshot(ACTIVITY).read().select(*WINDOWS))
+
+
+def late_data_position(spark, sf_dir):
+    m = _streamed(spark, sf_dir, "late-position", max_files=1, newest_first=True)
+    return naive(m.snapshot(POSITION).read().select(*POSITIONS, "in_geofence", "geofence_name", "capacity_tons"))
+
+
+def dimension_refresh(spark, sf_dir):
+    """The dimension changes between two runs; positions written after the change have its new rows."""
+    m = _environment(spark, sf_dir, "refresh")
+    raw = derived_raw(spark, sf_dir)
+    early = raw.join(spark.read.parquet(f"{sf_dir}/events.parquet").where("ts < TIMESTAMP_NTZ'2024-01-16 00:00:00'").select("event_id"), "event_id", "left_semi")
+    _land(spark, early, m.env.landing_path, 2)
+    m.run()
+    m.seed_trucks(trucks(spark, sf_dir).withColumn("region", F.concat("region", F.lit(" 2"))))
+    late = raw.join(spark.read.parquet(f"{sf_dir}/events.parquet").where("ts >= TIMESTAMP_NTZ'2024-01-16 00:00:00'").select("event_id"), "event_id", "left_semi")
+    _land(spark, late, m.env.landing_path, 2)
+    m.run()
+    return naive(m.snapshot(POSITION).read().select("truck_id", "last_event_ts", "region"))
+
+
+def rescued_data(spark, sf_dir):
+    """Unknown keys, values of the wrong type and broken lines, beside the fields that parsed."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    i = F.col("event_id")
+    line = F.concat(
+        F.lit('{"truck_id": "T'), F.col("user_id").cast("string"), F.lit('", "latitude": '),
+        F.when(i % 7 == 0, '"abc"').otherwise((i % 90).cast("string")),
+        F.lit(', "longitude": 1.5, "event_ts": "'), i.cast("string"), F.lit('"'),
+        F.when(i % 5 == 0, F.concat(F.lit(', "speed": "'), (i % 50).cast("string"), F.lit('"'))).otherwise(""),
+        F.when(i % 11 == 0, "").otherwise("}"),
+    )
+    rows = landing.parse(e.select(line.alias("value"), "event_id"))
+    get = lambda k: F.get_json_object("_rescued_data", f"$.{k}")
+    return rows.select("event_id", "truck_id", "latitude", "event_ts", get("latitude").alias("rescued_latitude"), get("speed").alias("rescued_speed"), get("_corrupt_record").isNotNull().alias("corrupt"))
+
+
+def migration_ledger(spark, sf_dir):
+    env = Env(scratch(spark, "ledger"))
+    runner = Runner(spark, env)
+    runner.run("001")
+    runner.run()
+    return runner.table().select("version", "filename", "statements")
+
+
+def catalog_columns(spark, sf_dir):
+    """What the catalog says of the positions table after all migrations."""
+    env = Env(scratch(spark, "catalog"))
+    Runner(spark, env).run()
+    return columns_view(spark, env).where("table_name = 'gold_truck_current_position'").select("column_name", "ordinal_position", "data_type", "is_nullable")
+
+
+def sql_statements(spark, sf_dir):
+    """INSERT, UPDATE, DELETE and a query as SQL text on the engine's tables."""
+    env = Env(scratch(spark, "sql"))
+    run = Executor(spark, env).execute
+    script = """
+        CREATE TABLE depots (depot STRING NOT NULL, trucks BIGINT, note STRING COMMENT 'a; b');
+        INSERT INTO depots SELECT n_name, CAST(n_nationkey AS BIGINT), 'it''s; new' FROM nations;
+        UPDATE depots SET trucks = trucks * 10, note = concat(note, '!') WHERE trucks BETWEEN 3 AND 7;
+        DELETE FROM depots WHERE trucks > 100 OR depot IN ('CHINA');
+        ALTER TABLE depots ADD COLUMN big BOOLEAN;
+        UPDATE depots SET big = trucks >= 40
+    """
+    spark.read.parquet(f"{sf_dir}/nation.parquet").createOrReplaceTempView("nations")
+    for statement in split_statements(script):
+        run(statement)
+    return run("SELECT depot, trucks, note, big FROM depots")
+
+
+def watermarked_activity(spark, sf_dir):
+    """The scale-up form: a watermarked streaming aggregate in update mode, its updates merged by window."""
+    root = scratch(spark, "watermark")
+    rows = clean(spark, sf_dir).select("event_ts", "truck_id")
+    rows.repartitionByRange(3, "event_ts").write.parquet(f"{root}/in")
+    schema = T.StructType([T.StructField("window_start", T.TimestampType(), False), T.StructField("ping_count", T.LongType()), T.StructField("truck_estimate", T.LongType())])
+    out = SnapshotTable.create(spark, f"{root}/out", schema, ["window_start"])
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in").withWatermark("event_ts", "60 days")
+    counted = stream.groupBy(tumbling().alias("w")).agg(F.count(F.lit(1)).alias("ping_count"), F.approx_count_distinct("truck_id").alias("truck_estimate")).select(F.col("w.start").alias("window_start"), "ping_count", "truck_estimate")
+    writer = counted.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(lambda batch, _: out.merge_upsert(batch))
+    run_available_now(writer, "watermarked_activity")
+    return naive(out.read().select("window_start", "ping_count"))
+
+
+def approx_trucks(spark, sf_dir):
+    """Distinct trucks by region, estimated; the exact count stands beside it."""
+    placed = gold.enrich(clean(spark, sf_dir).select("truck_id"), trucks(spark, sf_dir), ["truck_id", "region"])
+    return placed.groupBy(F.coalesce("region", F.lit("UNKNOWN")).alias("region")).agg(F.approx_count_distinct("truck_id", 0.02).alias("estimate"), F.countDistinct("truck_id").alias("exact"))
+
+
+def observed_schema(spark, sf_dir):
+    """Field names noted from what was rescued, over two runs of the raw stream."""
+    env = Env(scratch(spark, "observed"))
+    m = Medallion(spark, env)
+    for k, extra in enumerate(("speed", "heading")):
+        lines = spark.range(3).select(F.concat(F.lit(f'{{"truck_id": "a", "{extra}": '), F.col("id").cast("string"), F.lit("}")).alias("value"))
+        lines.write.mode("append").text(f"{env.landing_path}")
+        m.run_bronze()
+    log = landing.SchemaLog(spark, env.checkpoint_path("bronze_pings_raw_schema"))
+    assert Files(spark, env.home).exists(env.landing_path)
+    return spark.createDataFrame([(f,) for f in log.fields()], "field STRING")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        silver_clean, reject_reason_counts, quarantine_rows, current_position, current_position_geofenced, geofence_counts,
+        region_activity_5m, region_activity_recompute, merge_insert_only, merge_upsert, merge_sequence_guard,
+        merge_tolerant_columns, dedup_ordered, dedup_any, bronze_report, medallion_counts, dedup_proof, latest_positions_top20,
+        activity_top20, backfill_update, delete_by_key, drop_column, restore_version, stream_bronze_silver_gold,
+        late_data_window, late_data_position, dimension_refresh, rescued_data, migration_ledger, catalog_columns,
+        sql_statements, watermarked_activity, approx_trucks, observed_schema,
+    )
+} | {"capacity_tons": capacity}
