@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from fluxmill.llm.langid import held_out
 
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS = 8000  # labelled documents, a quarter of them toxic where there are enough
 LONGEST_SAMPLE = 20_000
-SIGNIFICANT = 24.0  # log-likelihood ratio that a learned stem must reach
-PRECISE = 0.9
+SIGNIFICANT = 16.0  # log-likelihood ratio that a learned stem must reach beyond what trying so many stems gives by chance
+PRECISE = 0.9  # least share of a stem's witnesses that are toxic
+SINGLES = 5  # made-up examples of a single insult that is toxic
+LEAST = 4  # fewest witnesses of a stem
 STEM = (4, 10)  # letters of a learned stem
 
 # Seed words of the classes, in several languages.
@@ -170,18 +172,40 @@ def _surprise(k: int, n: int, rate: float) -> float:
     return 2 * (k * math.log(p / rate) + ((n - k) * math.log((1 - p) / (1 - rate)) if k < n else 0.0))
 
 
-def learn_stems(texts: Sequence[str], toxic: Sequence[int]) -> list[str]:
-    """Word beginnings that mark toxic documents, none beginning with another."""
-    bad, all_ = Counter(), Counter()
-    for text, label in zip(texts, toxic):
-        found = {w[:n] for w in set(_WORD.findall(text.lower())) for n in range(STEM[0], min(len(w), STEM[1]) + 1)}
-        all_.update(found)
-        if label:
-            bad.update(found)
-    rate = sum(map(bool, toxic)) / max(len(texts), 1)
-    good = [(k, len(s), s) for s, k in bad.items() if k >= PRECISE * all_[s] and _surprise(k, all_[s], rate) >= SIGNIFICANT]
+def _beginnings(word: str) -> Iterator[str]:
+    return (word[:n] for n in range(STEM[0], min(len(word), STEM[1]) + 1))
+
+
+def learn_stems(texts: Sequence[str], toxic: Sequence[int], clean_weight: float = 1.0) -> list[str]:
+    """Word beginnings that mark toxic documents, none beginning with another.
+
+    Documents that hold a beginning propose it; its contexts decide.  A context
+    is the pair of words around an occurrence: copies of one document have the
+    same contexts, however many they are, so a rare word of a much-copied toxic
+    document has one witness and an insult has many.  ``clean_weight`` is how
+    many clean documents each clean one of the sample stands for.
+    """
+    words = [_WORD.findall(t.lower()) for t in texts]
+    bad, good = Counter(), Counter()
+    for found, label in zip(words, toxic):
+        (bad if label else good).update({s for w in set(found) for s in _beginnings(w)})
+    proposed = {s for s, k in bad.items() if k >= LEAST and k >= PRECISE * (k + clean_weight * good[s])}
+    around: dict[str, tuple[set, set]] = {s: (set(), set()) for s in proposed}
+    for found, label in zip(words, toxic):
+        side = 0 if label else 1
+        for k, w in enumerate(found):
+            for s in _beginnings(w):
+                if s in proposed:
+                    around[s][side].add((found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else ""))
+    n_bad = sum(map(bool, toxic))
+    rate = n_bad / max(n_bad + clean_weight * (len(toxic) - n_bad), 1)
+    strong = []
+    for s, (a, b) in around.items():
+        k, n = len(a), len(a) + clean_weight * len(b)
+        if k >= LEAST and k >= PRECISE * n and _surprise(k, n, rate) >= SIGNIFICANT + 2 * math.log(max(len(proposed), 1)):
+            strong.append((k, len(s), s))
     chosen: dict[str, int] = {}
-    for k, _, s in sorted(good, key=lambda x: (-x[0], -x[1], x[2])):
+    for k, _, s in sorted(strong, key=lambda x: (-x[0], -x[1], x[2])):
         longer = [c for c in chosen if c.startswith(s)]
         if any(s.startswith(c) for c in chosen) or longer and k < 1.15 * max(chosen[c] for c in longer):
             continue
@@ -207,16 +231,18 @@ def fit_weights(features: np.ndarray, labels: np.ndarray, spread: float = 1.5, r
     return w
 
 
-def train(texts: Sequence[str], toxic: Sequence[int]) -> tuple[list[str], list[float]]:
-    stems = sorted({*INSULTS, *learn_stems(texts, toxic)})
+def train(texts: Sequence[str], toxic: Sequence[int], clean_weight: float = 1.0) -> tuple[list[str], list[float]]:
+    stems = sorted({*INSULTS, *learn_stems(texts, toxic, clean_weight)})
     draft = Scorer(stems, prior())
     rows = [draft.counts(t) for t in texts]
     features = np.array([np.zeros(len(FORMS)) if r is None else r for r in rows]).reshape(-1, len(FORMS))
-    return stems, fit_weights(features, np.array(toxic, float)).tolist()
+    # a few made-up examples say that one plain insult is enough, until the labels say otherwise
+    single = np.tile(np.eye(len(FORMS))[FORMS.index("I")], (SINGLES, 1))
+    return stems, fit_weights(np.r_[features, single], np.r_[np.array(toxic, float), np.ones(SINGLES)]).tolist()
 
 
 def learn(documents: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", only: Column | None = None, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[float]]:
-    """Stems and weights from about ``sample_docs`` labelled rows, half of them toxic where there are enough.
+    """Stems and weights from about ``sample_docs`` labelled rows, a quarter of them toxic where there are enough.
 
     Labels are aggregated by class; a hash threshold per class picks the sample's
     ids, a bounded set that is broadcast to the one scan of the documents.
@@ -226,11 +252,12 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", ident: st
     counts = {r[0]: r[1] for r in rows.groupBy("l").agg(F.count(F.lit(1))).collect()}
     if not counts:
         return sorted(INSULTS), prior().tolist()
-    share = {k: int(min(1.0, sample_docs / 2 / n) * (1 << 30)) for k, n in counts.items()}
+    share = {k: int(min(1.0, sample_docs * (0.25 if k else 0.75) / n) * (1 << 30)) for k, n in counts.items()}
     picked = rows.where(place < F.when(F.col("l") == 1, share.get(1, 0)).otherwise(share.get(0, 0)))
     found = documents.select(F.col(ident).alias("i"), F.col(text).alias("t")).where(F.length("t") <= LONGEST_SAMPLE).join(F.broadcast(picked), "i")
     pairs = sorted((r["t"], r["l"]) for r in found.select("t", "l").collect())
-    return train([p[0] for p in pairs], [p[1] for p in pairs])
+    weight = share.get(1, 1) / max(share.get(0, 1), 1)
+    return train([p[0] for p in pairs], [p[1] for p in pairs], weight)
 
 
 _scorers: dict[str, Scorer] = {}
