@@ -15,8 +15,10 @@ from fluxmill.llm import bpe, langid, mixing, simhash, toxicity
 from fluxmill.llm.common import fresh, join_small, stash, table
 from fluxmill.llm.queries import vocabulary_path
 
-#: Bits a letter above which a text is in none of the learned languages (their own texts stay below 5).
-MOST_BITS = 6.5
+#: Bits a letter above which a text is in none of the learned languages (their own texts stay below 7, random letters
+#: take over 10), and the letters from which that can be told.
+MOST_BITS = 8.5
+ENOUGH_LETTERS = 40
 TOXIC = 0.5
 
 
@@ -24,7 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters and texts that no learned language explains."""
     columns = docs.columns
     found = langid.identify(docs, langid.references(docs), keep=columns)
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("lang_bits") <= MOST_BITS)).select(*columns)
+    foreign = (F.col("lang_bits") > MOST_BITS) & (F.col("lang_letters") >= ENOUGH_LETTERS)
+    return found.where((F.col("lang_pred") != langid.UND) & ~foreign).select(*columns)
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,7 +113,7 @@ class Parser:
         tables, self.cost = [], []
         for t in texts:
             moves = suffix_automaton(self.code[t].tolist())
-            grid = np.full((len(moves), self.width), -1, np.int32)
+            grid = np.full((len(moves) + 1, self.width), -1, np.int32)  # the last state has no way on: a letter the reference lacks
             for s, m in enumerate(moves):
                 for c, to in m.items():
                     grid[s, c] = to
@@ -140,23 +140,25 @@ class Parser:
             lanes = np.searchsorted(-left, -np.arange(1, PIECE + 1), side="right")  # lanes still running at each step
             symbols = [flat[at[: lanes[k]] + k] for k in range(PIECE) if lanes[k]]
             for n, table in enumerate(self.tables):
-                state = np.zeros(len(at), np.int64)
-                count = np.ones(len(at), np.int64)
+                dead = len(table) // self.width - 1
+                state = np.full(len(at), dead)
+                count = np.zeros(len(at), np.int64)
                 for s in symbols:
                     here = state[: len(s)]
                     to = table[here * self.width + s].astype(np.int64)
                     stuck = np.flatnonzero(to < 0)
-                    if len(stuck):  # a phrase ended; the symbol begins the next, unless no reference has it
+                    if len(stuck):  # a phrase ended; the symbol begins the next, or is one itself where the reference lacks it
                         count[stuck] += 1
-                        to[stuck] = np.maximum(table[s[stuck]], 0)
+                        begun = table[s[stuck]]
+                        to[stuck] = np.where(begun < 0, dead, begun)
                     here[:] = to
                 out[n] += np.bincount(own, count, len(texts)).astype(np.int64)
         return out, size
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score (how much cheaper than the second best, 0 to 1) and bits a letter in it."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
+        """Language, score (how much cheaper than the second best, 0 to 1), bits a letter in it, and number of letters and gaps."""
         if not self.languages:
-            return [UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+            return [UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [len(letters(t)) if t else 0 for t in texts]
         count, size = self.phrases(texts)
         bits = count * np.array(self.cost)[:, None]
         best = bits.argmin(0)
@@ -166,7 +168,7 @@ class Parser:
         second = rest.min(0) if len(self.languages) > 1 else low * 2
         some = size > 0
         score = np.where(some, 1 - low / np.maximum(np.where(np.isfinite(second), second, 1), 1e-9), 0.0).clip(0, 1)
-        return [self.languages[b] if s else UND for b, s in zip(best, some)], score.tolist(), (low / np.maximum(size, 1)).tolist()
+        return [self.languages[b] if s else UND for b, s in zip(best, some)], score.tolist(), (low / np.maximum(size, 1)).tolist(), size.tolist()
 
 
 def held_out(ident: Column) -> Column:
@@ -216,13 +218,13 @@ def _parser(refs: dict[str, str]) -> Parser:
 
 
 def identify(df: DataFrame, refs: dict[str, str], text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` plus lang_pred, lang_score and lang_bits (bits a letter); narrow, one pass."""
+    """``keep`` plus lang_pred, lang_score, lang_bits (bits a letter) and lang_letters; narrow, one pass."""
     shared = df.sparkSession.sparkContext.broadcast(refs)  # bounded: languages times the reference length
     names = list(keep)
     others = [n for n in names if n != text]
     source = df.select(*others, df[text].alias("__text"))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([f"`{n}` {kinds[n]}" for n in names] + ["lang_pred string", "lang_score double", "lang_bits double"])
+    schema = ", ".join([f"`{n}` {kinds[n]}" for n in names] + ["lang_pred string", "lang_score double", "lang_bits double", "lang_letters bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared.value)
@@ -230,8 +232,8 @@ def identify(df: DataFrame, refs: dict[str, str], text: str = "text", keep: Sequ
             for first in range(0, max(whole.num_rows, 1), 1024):
                 batch = whole.slice(first, 1024)
                 texts = batch.column(len(others))
-                langs, scores, bits = parser.predict(texts.to_pylist())
+                langs, scores, bits, size = parser.predict(texts.to_pylist())
                 columns = [texts if n == text else batch.column(others.index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], [*names, "lang_pred", "lang_score", "lang_bits"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), pa.array(size, pa.int64())], [*names, "lang_pred", "lang_score", "lang_bits", "lang_letters"])
 
     return source.mapInArrow(run, schema)
