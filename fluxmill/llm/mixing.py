@@ -67,22 +67,23 @@ def targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length come nearest to ``budget`` without passing it, by exact dynamic programming.
+    """How many of each length come nearest to ``budget``, below rather than above, by exact dynamic programming.
 
     ``first[s]`` is the length index that first reached sum ``s``; within a length
-    the fewest uses are kept, so counts are respected.
+    the fewest uses are kept, so counts are respected.  Sums beyond twice the
+    budget are further off than taking nothing.
     """
-    first = np.full(budget + 1, -1, np.int64)
-    uses = np.zeros(budget + 1, np.int64)
-    reached = np.zeros(budget + 1, bool)
+    most = min(2 * budget, budget + int(lengths.max(initial=0)))
+    first = np.full(most + 1, -1, np.int64)
+    uses = np.zeros(most + 1, np.int64)
+    reached = np.zeros(most + 1, bool)
     reached[0] = True
     for k, (n, c) in enumerate(zip(lengths.tolist(), counts.tolist())):
-        if n <= 0 or n > budget or c <= 0:
+        if n <= 0 or n > most or c <= 0:
             continue
-        before = reached.copy()
-        frontier = before
-        for use in range(1, min(c, budget // n) + 1):
-            moved = np.zeros(budget + 1, bool)
+        frontier = reached.copy()
+        for use in range(1, min(c, most // n) + 1):
+            moved = np.zeros(most + 1, bool)
             moved[n:] = frontier[:-n]
             new = moved & ~reached
             if not new.any():
@@ -92,7 +93,8 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
             frontier = new
         if reached[budget]:
             break
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.abs(sums - budget).argmin()])
     out = np.zeros(len(lengths), np.int64)
     while at:
         out[first[at]] += uses[at]
