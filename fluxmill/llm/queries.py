@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fluxmill.llm import bpe, html, langid, lm, media, mixing, quality, simhash, toxicity, warc
 from fluxmill.llm.common import table
+from fluxmill.llm.oracle import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,18 +66,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), digests=True)
 
 
-QUERIES: dict[str, Query] = {"op5_html": op5_html, "op2_lm": op2_lm, "op7_toxicity": op7_toxicity, "op1_langid": op1_langid, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_media": op10_media}
-
-_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-
-ORACLE: dict[str, str] = {
-    "op6_warc": f"""
-        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-        g AS (SELECT *, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS top FROM p)
-        SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
-            array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}', CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
-            CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-            CASE WHEN page_id <> top THEN top END AS refers_to
-        FROM g
-    """,
-}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_langid, op2_lm, op3_mixing, op4_simhash, op5_html, op6_warc, op7_toxicity, op8_quality, op9_bpe, op10_media)}
