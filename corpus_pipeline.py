@@ -25,16 +25,18 @@ TOXIC = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters and texts that no learned language explains."""
     columns = docs.columns
-    found = langid.identify(docs, langid.references(docs), keep=columns)
-    foreign = (F.col("lang_bits") > MOST_BITS) & (F.col("lang_letters") >= ENOUGH_LETTERS)
-    return found.where((F.col("lang_pred") != langid.UND) & ~foreign).select(*columns)
+    name, score, bits, letters = fresh(docs, "lang_pred", "lang_score", "lang_bits", "lang_letters")
+    found = langid.identify(docs, langid.references(docs), keep=columns, outputs=(name, score, bits, letters))
+    foreign = (F.col(bits) > MOST_BITS) & (F.col(letters) >= ENOUGH_LETTERS)
+    return found.where((F.col(name) != langid.UND) & ~foreign).select(*columns)
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that score as toxic."""
     columns = docs.columns
+    (score,) = fresh(docs, "toxicity")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=columns).where(F.col("toxicity") < TOXIC).select(*columns)
+    return toxicity.score(docs, model, keep=columns, output=score).where(F.col(score) < TOXIC).select(*columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from fluxmill.llm.common import slices
+
 END = "\ue000"  # stands for the end-of-word suffix inside match strings
 _MARK = "</w>"
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -362,11 +364,12 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", output:
     source = df.select(*[df[c] for c in kept]) if text in kept else df
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in kept] + [f"`{n}` {t}" for n, t in added])
 
+    place = source.columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(shared.value)
-        # a slice's ids stay far below the 2^31 that one list array can hold
-        for batch in (whole.slice(k, 1024) for whole in batches for k in range(0, max(whole.num_rows, 1), 1024)):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        for batch in slices(batches, place):  # a slice's ids stay far below the 2^31 that one list array can hold
+            texts = batch.column(place).to_pylist()
             kept_columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             if digests:
                 rows = []

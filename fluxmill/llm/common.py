@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a side may hold and still be broadcast; beyond it a shuffled join runs.
 BROADCAST_ROWS = 500_000
 
-_stashed: list[tuple[SparkSession, str]] = []
+#: Bytes of rows handed to a Python worker at once.
+ARROW_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,26 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _stashed:
-        atexit.register(sweep)
-    _stashed.append((spark, path))
-    return path
-
-
-def sweep() -> None:
-    """Delete every scratch path made so far (those of a stopped session stay)."""
-    while _stashed:
-        spark, path = _stashed.pop()
-        if spark.sparkContext._jsc is None:
-            continue
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception as gone:  # the gateway may already be closed at exit
-            print(f"scratch {path} stays: {type(gone).__name__}")
+    """A path in the shared folder that nothing is at yet, gone when the driver ends."""
+    jvm = spark.sparkContext._jvm
+    holder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    files = holder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(holder)
+    files.deleteOnExit(holder)
+    return f"{holder}/t"
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -76,6 +66,29 @@ def join_small(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, r
     return left.join(F.broadcast(right) if rows <= limit else right.hint("merge"), list(on), how)
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``ARROW_BYTES``, unless the session already asks for smaller ones."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", conf.get(name))[0]) > ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows and about ``size`` bytes of a text column (one row at least), empty ones too."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        ends, first = length.cumsum(), 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            stop = max(first + 1, min(first + rows, int(ends.searchsorted(before + size, side="right"))))
+            yield batch.slice(first, stop - first)
+            first = stop
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that clash with none of the frame's (case-insensitively)."""
     taken = {c.lower() for c in df.columns}

@@ -21,6 +21,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fluxmill.llm.common import slices
+
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -407,12 +409,10 @@ def extract(df: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id",
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, max(whole.num_rows, 1), 512):
-                b = whole.slice(first, 512)
-                texts = [render(h.as_py()) for h in b.column(len(names))]
-                digests = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in texts]
-                texts = [t.encode("utf-8", "replace").decode() for t in texts]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests, pa.string())], [*names, "text", "n_chars", "text_sha256"])
+        for b in slices(batches, len(names)):
+            texts = [render(h.as_py()) for h in b.column(len(names))]
+            digests = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in texts]
+            texts = [t.encode("utf-8", "replace").decode() for t in texts]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests, pa.string())], [*names, "text", "n_chars", "text_sha256"])
 
     return source.mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "text string, n_chars bigint, text_sha256 string"]))

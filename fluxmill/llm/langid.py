@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluxmill.llm.common import slices
+
 UND = "und"
 SAMPLE_DOCS = 96
 REFERENCE = 16_000
 PIECE = 128
-_LANES = 1 << 16
+_LANES = 1 << 14
 _TABLE = 1 << 16
 
 
@@ -217,23 +219,21 @@ def _parser(refs: dict[str, str]) -> Parser:
     return _parsers[key]
 
 
-def identify(df: DataFrame, refs: dict[str, str], text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` plus lang_pred, lang_score, lang_bits (bits a letter) and lang_letters; narrow, one pass."""
+def identify(df: DataFrame, refs: dict[str, str], text: str = "text", keep: Sequence[str] = ("doc_id",), outputs: Sequence[str] = ("lang_pred", "lang_score", "lang_bits", "lang_letters")) -> DataFrame:
+    """``keep`` plus language, score, bits a letter and number of letters under the names ``outputs``; narrow, one pass."""
     shared = df.sparkSession.sparkContext.broadcast(refs)  # bounded: languages times the reference length
     names = list(keep)
     others = [n for n in names if n != text]
     source = df.select(*others, df[text].alias("__text"))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([f"`{n}` {kinds[n]}" for n in names] + ["lang_pred string", "lang_score double", "lang_bits double", "lang_letters bigint"])
+    schema = ", ".join([f"`{n}` {kinds[n]}" for n in names] + [f"`{n}` {t}" for n, t in zip(outputs, ("string", "double", "double", "bigint"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared.value)
-        for whole in batches:
-            for first in range(0, max(whole.num_rows, 1), 1024):
-                batch = whole.slice(first, 1024)
-                texts = batch.column(len(others))
-                langs, scores, bits, size = parser.predict(texts.to_pylist())
-                columns = [texts if n == text else batch.column(others.index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), pa.array(size, pa.int64())], [*names, "lang_pred", "lang_score", "lang_bits", "lang_letters"])
+        for batch in slices(batches, len(others)):
+            texts = batch.column(len(others))
+            langs, scores, bits, size = parser.predict(texts.to_pylist())
+            columns = [texts if n == text else batch.column(others.index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), pa.array(size, pa.int64())], [*names, *outputs])
 
     return source.mapInArrow(run, schema)

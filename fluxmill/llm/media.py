@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fluxmill.llm.common import slices
+
 BLOCK = 64  # payloads are padded to a positive multiple of this
 RATE = 8000
 FRAME, HOP = 256, 128
@@ -142,13 +144,10 @@ def media_columns(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names] + [f"`{n}` {t}" for n, (t, _) in made.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 256  # rows whose files are held at once
-        for whole in batches:
-            for first in range(0, whole.num_rows, step):
-                batch = whole.slice(first, step)
-                rows = [_media_row(t.as_py()) for t in batch.column(len(names))]
-                if digests:
-                    rows = [_digest(r) for r in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array([r[n] for r in rows], t) for n, (_, t) in made.items()], names + list(made))
+        for batch in slices(batches, len(names), 256):
+            rows = [_media_row(t.as_py()) for t in batch.column(len(names))]
+            if digests:
+                rows = [_digest(r) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array([r[n] for r in rows], t) for n, (_, t) in made.items()], names + list(made))
 
     return source.mapInArrow(run, schema)

@@ -185,18 +185,22 @@ def learn_stems(texts: Sequence[str], toxic: Sequence[int], clean_weight: float
     document has one witness and an insult has many.  ``clean_weight`` is how
     many clean documents each clean one of the sample stands for.
     """
-    words = [_WORD.findall(t.lower()) for t in texts]
-    bad, good = Counter(), Counter()
-    for found, label in zip(words, toxic):
-        (bad if label else good).update({s for w in set(found) for s in _beginnings(w)})
-    proposed = {s for s, k in bad.items() if k >= LEAST and k >= PRECISE * (k + clean_weight * good[s])}
+    words = lambda side: (_WORD.findall(t.lower()) for t, label in zip(texts, toxic) if bool(label) == side)
+    bad = Counter()
+    for found in words(True):
+        bad.update({s for w in set(found) for s in _beginnings(w)})
+    bad = {s: k for s, k in bad.items() if k >= LEAST}  # few are left, and only these are looked for elsewhere
+    good = Counter()
+    for found in words(False):
+        good.update({s for w in set(found) for s in _beginnings(w) if s in bad})
+    proposed = {s for s, k in bad.items() if k >= PRECISE * (k + clean_weight * good[s])}
     around: dict[str, tuple[set, set]] = {s: (set(), set()) for s in proposed}
-    for found, label in zip(words, toxic):
-        side = 0 if label else 1
-        for k, w in enumerate(found):
-            for s in _beginnings(w):
-                if s in proposed:
-                    around[s][side].add((found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else ""))
+    for label in (True, False):
+        for found in words(label):
+            for k, w in enumerate(found):
+                for s in _beginnings(w):
+                    if s in proposed:
+                        around[s][0 if label else 1].add((found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else ""))
     n_bad = sum(map(bool, toxic))
     rate = n_bad / max(n_bad + clean_weight * (len(toxic) - n_bad), 1)
     strong = []
@@ -271,8 +275,8 @@ def _scorer(model: tuple[list[str], list[float]]) -> Scorer:
     return _scorers[key]
 
 
-def score(df: DataFrame, model: tuple[list[str], list[float]], text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` plus toxicity (0 to 1); narrow, one pass."""
+def score(df: DataFrame, model: tuple[list[str], list[float]], text: str = "text", keep: Sequence[str] = ("doc_id",), output: str = "toxicity") -> DataFrame:
+    """``keep`` plus ``output``, the toxicity from 0 to 1; narrow, one pass."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # a few thousand stems at most
     names = list(keep)
     others = [n for n in names if n != text]
@@ -284,6 +288,6 @@ def score(df: DataFrame, model: tuple[list[str], list[float]], text: str = "text
         for b in batches:
             texts = b.column(len(others))
             values = pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(texts if n == text else b.column(others.index(n)) for n in names), values], [*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*(texts if n == text else b.column(others.index(n)) for n in names), values], [*names, output])
 
-    return source.mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "toxicity double"]))
+    return source.mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), f"`{output}` double"]))

@@ -10,9 +10,16 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder that driver and executors share: in the session's checkpoint folder, or a local one where none is named."""
+    """A fresh folder that driver and executors share, gone when the driver ends.
+
+    It is made in the session's checkpoint folder, or a local one where none is named.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fluxmill-")
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    files = Files(spark, path)
+    files.mkdirs(path)
+    files.delete_on_exit(path)
+    return path
 
 
 class Files:
@@ -33,6 +40,9 @@ class Files:
     def delete(self, name: str) -> bool:
         return self._fs.delete(self.path(name), True)
 
+    def delete_on_exit(self, name: str) -> None:
+        self._fs.deleteOnExit(self.path(name))
+
     def names(self, folder: str) -> list[str]:
         if not self.exists(folder):
             return []

@@ -128,7 +128,8 @@ class Table:
         used = {p for v in versions[-keep:] for ps in self.entry(v)["parts"].values() for p in ps}
         for v in versions[:-keep]:
             self.files.delete(f"{self.path}/_log/{v:012d}.json")
-        gone = [f"data/{n}" for n in self.files.names(f"{self.path}/data") if not any(u == f"data/{n}" or u.startswith(f"data/{n}/") for u in used)]
+        held = [f"{top}/{n}" for top in ("data", "whole") for n in self.files.names(f"{self.path}/{top}")]
+        gone = [p for p in held if not any(u == p or u.startswith(f"{p}/") for u in used)]
         for p in gone:
             self.files.delete(f"{self.path}/{p}")
         return len(gone)
@@ -142,14 +143,16 @@ class AppendTable(Table):
     """Rows are only added; a label makes an append happen once however often it is tried."""
 
     kind = "append"
+    _LABELS = 1000  # newest labels that are remembered; a replay only ever repeats the last
 
     def append(self, df: DataFrame, label: str | None = None) -> bool:
         """Add rows; False if an append of that label is already in."""
-        name = f"data/{label or uuid.uuid4().hex}"
+        label = label or uuid.uuid4().hex
+        name = f"data/{label}"
         base = self.version
         entry = self.entry(base)
-        held = entry["parts"].get("all", [])
-        if name in held:
+        labels = entry.get("labels", [])
+        if label in labels:
             return False
         schema = T.StructType.fromJson(entry["schema"])
         rows = self._required(df).select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
@@ -159,12 +162,29 @@ class AppendTable(Table):
             self.files.mkdirs(f"{self.path}/data")
             if not self.files.rename(draft, f"{self.path}/{name}"):
                 raise Conflict(f"{self.path}: {name} can't be moved in")
-        self._commit(base, entry, parts={"all": [*held, name]})
+        self._commit(base, entry, parts={"all": [*entry["parts"].get("all", []), name]}, labels=[*labels, label][-self._LABELS :])
         return True
 
-    def merge_insert(self, df: DataFrame, sequence: str | None = None, label: str | None = None) -> None:
-        """Insert-only merge: an append of the rows whose keys are new."""
-        self.append(merge.insert_only(self.read(), df, self.keys, sequence), label)
+    def merge_insert(self, df: DataFrame, sequence: str | None = None, label: str | None = None, shared: str | None = None) -> None:
+        """Insert-only merge: an append of the rows whose keys are new.
+
+        ``shared`` names a column in which rows of equal keys are always equal;
+        the target is then only read where it lies in the source's range, which
+        its files' statistics prune.
+        """
+        target = self.read()
+        if shared:
+            low, high = df.agg(F.min(shared), F.max(shared)).first()
+            target = target.where(F.lit(False) if low is None else F.col(shared).between(F.lit(low), F.lit(high)))
+        self.append(merge.insert_only(target, df, self.keys, sequence), label)
+
+    def compact(self) -> int:
+        """Put all rows in one folder of large files, which streams of the table don't see as new; vacuum removes the old ones."""
+        base = self.version
+        entry = self.entry(base)
+        name = f"whole/{uuid.uuid4().hex}"
+        self.read().write.parquet(f"{self.path}/{name}")
+        return self._commit(base, entry, parts={"all": [name]})
 
     def stream(self, **options) -> DataFrame:
         """The table as an append-only stream of its committed folders."""

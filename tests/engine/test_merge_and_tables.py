@@ -105,6 +105,28 @@ def test_appends_happen_once(spark, tmp_path):
     assert rows(table.read()) == [("a", 1), ("b", 2)] == rows(spark.read.parquet(f"{table.path}/data/*"))
 
 
+def test_compaction_keeps_rows_labels_and_streams(spark, tmp_path):
+    table = AppendTable.create(spark, str(tmp_path / "t"), ddl("k STRING NOT NULL, v INT"), ["k"])
+    for k in range(3):
+        table.append(frame(spark, [(str(k), k)], KV), f"b{k}")
+    streamed = spark.read.parquet(f"{table.path}/data/*").count()
+    table.compact()
+    assert not table.append(frame(spark, [("2", 2)], KV), "b2")
+    assert len(table.entry()["parts"]["all"]) == 1 and rows(table.read()) == [("0", 0), ("1", 1), ("2", 2)]
+    assert spark.read.parquet(f"{table.path}/data/*").count() == streamed == 3
+    assert table.vacuum(1) == 3 and table.read().count() == 3
+
+
+def test_shared_column_prunes_the_target(spark, tmp_path):
+    table = AppendTable.create(spark, str(tmp_path / "t"), ddl("k STRING NOT NULL, v INT"), ["k"])
+    table.append(frame(spark, [(str(k), k) for k in range(50)], KV))
+    table.merge_insert(frame(spark, [("7", 7), ("60", 60)], KV), shared="v")
+    table.merge_insert(frame(spark, [], KV), shared="v")
+    assert table.read().count() == 51
+    plan = table.read().where(F.col("v").between(7, 60))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(v,7)" in plan
+
+
 def test_second_committer_loses(spark, tmp_path):
     table = SnapshotTable.create(spark, str(tmp_path / "t"), ddl("k STRING NOT NULL, v INT"), ["k"])
     base, entry = table.version, table.entry()

@@ -11,7 +11,7 @@ from fluxmill.plans.statements import read_table
 from fluxmill.schemas import ACTIVITY, POSITION, QUARANTINE, SILVER
 from fluxmill.sources import landing, pings
 from fluxmill.streaming.medallion import Medallion
-from fluxmill.streaming.runner import StreamFailed
+from fluxmill.streaming.runner import StreamFailed, run_every
 
 
 def ping(truck, minute, lat=41.9, lon=-87.6, second=0):
@@ -169,6 +169,18 @@ def test_failed_task_skips_what_follows(spark, tmp_path):
         jobs.ordered([jobs.Task("x", list, ("y",))])
 
 
+def test_kept_running(spark, tmp_path):
+    """The same writer on a timer instead of to the end."""
+    pings.land(spark, str(tmp_path / "in"), FILES)
+    rows = landing.bronze_rows(landing.lines(spark, str(tmp_path / "in")))
+    query = run_every(rows.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")), "kept", "1 second", str(tmp_path / "out"))
+    try:
+        query.processAllAvailable()
+        assert query.isActive and spark.read.parquet(str(tmp_path / "out")).count() == 9
+    finally:
+        query.stop()
+
+
 def test_seeded_sources(spark):
     rows = lambda: pings.seeded_trucks(spark).drop("_updated_at").collect()
     assert rows() == rows() and len({r["truck_id"] for r in rows()}) == 20
