@@ -5,7 +5,9 @@ Documents are counted by source and exact length.  A source whose target is
 is fitted: first each length gives its share of its documents, which keeps the
 lengths' proportions, then single documents go from the longest down while they
 fit, and a bounded-knapsack dynamic program over the counts still left closes
-what remains.  Which documents a length gives is decided by a seeded hash.
+what remains.  Where that misses the budget, the documents too long for the
+program's table are chosen first, over their distinct sums, so that the others
+can close the rest, and the nearer result is taken.  Which documents a length gives is decided by a seeded hash.
 
 Null texts have length zero and are never taken more than zero words; a null
 source is a source of its own, after all others; equal hashes are ordered by id,
@@ -17,7 +19,7 @@ from hash buckets within a source and length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -102,18 +104,52 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return out
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, target: float, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Whole passes over all documents and, per length, how many documents one pass more takes."""
-    total = int((lengths * counts).sum())
-    passes = min(epochs, int(target // total)) if total else 0
-    extra = np.zeros(len(lengths), np.int64)
-    if not total or passes >= epochs:
-        return np.full(len(lengths), passes), extra
-    budget = int(round(target)) - passes * total
-    if budget <= 0:
-        return np.full(len(lengths), passes), extra
+def subset_sums(lengths: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, Callable[[int], np.ndarray]]:
+    """The distinct sums up to ``most``, ascending, and the uses of each length that give the sum at a place.
+
+    Counts are split into powers of two.  Beyond ``cap`` sums, one is kept in each
+    of as many equal steps, and the largest.
+    """
+    items = []
+    for k, (n, c) in enumerate(zip(lengths.tolist(), counts.tolist())):
+        c, use = min(c, most // n), 1
+        while c > 0:
+            use = min(use, c)
+            items.append((k, use, use * n))
+            c, use = c - use, 2 * use
+    cap = max(1 << 10, min(TABLE_WORDS, (1 << 24) // max(1, len(items))))
+    sums, back = np.zeros(1, np.int64), []
+    for _, _, size in items:
+        both = np.concatenate([sums, sums + size])
+        both, at = np.unique(both, return_index=True)
+        both, at = both[both <= most], at[: int((both <= most).sum())]
+        if len(both) > cap:
+            step = both * cap // (most + 1)
+            keep = np.r_[True, step[1:] != step[:-1]]
+            keep[-1] = True
+            both, at = both[keep], at[keep]
+        back.append((at.astype(np.int32), len(sums)))
+        sums = both
+
+    def uses(place: int) -> np.ndarray:
+        out = np.zeros(len(lengths), np.int64)
+        for (k, use, _), (at, before) in zip(reversed(items), reversed(back)):
+            place = int(at[place])
+            if place >= before:
+                out[k] += use
+                place -= before
+        return out
+
+    return sums, uses
+
+
+def _close(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """Each length's share of its documents, single documents from the longest down, and the knapsack for the rest."""
+    extra, total = np.zeros(len(lengths), np.int64), int((lengths * counts).sum())
+    if budget <= 0 or not total:
+        return extra
     real = lengths > 0
-    extra[real] = np.floor(counts[real] * (budget / total)).astype(np.int64)
+    extra[real] = np.floor(counts[real] * min(1.0, budget / total)).astype(np.int64)
     left = budget - int((extra * lengths).sum())
     for k in np.argsort(-lengths, kind="stable"):
         if left <= TABLE_WORDS:
@@ -123,6 +159,53 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, epochs: int = EP
             left -= more * int(lengths[k])
     if 0 < left <= TABLE_WORDS:
         extra += knapsack(lengths, counts - extra, left)
+    return extra
+
+
+def _long_first(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """Documents longer than half the table are chosen so that the others can close the rest; small budgets are exact."""
+    if budget <= TABLE_WORDS:
+        return knapsack(lengths, counts, budget)
+    long = lengths > TABLE_WORDS // 2
+    rest = np.where(long, 0, counts)
+    short_total, long_total = int((lengths * rest).sum()), int((lengths[long] * counts[long]).sum())
+    most = min(long_total, budget + int(lengths.max(initial=0)))
+    sums, uses = subset_sums(lengths[long], counts[long], most)
+    # how far off the others must leave it; then near the lengths' proportions
+    off = np.maximum(np.maximum(budget - short_total - sums, sums - budget), 0)
+    share = budget * long_total / (long_total + short_total)
+    best = None
+    for place in np.lexsort((np.abs(sums - share), off))[:8].tolist():
+        out = np.zeros(len(lengths), np.int64)
+        out[long] = uses(place)
+        out += _close(lengths, rest, budget - int(sums[place]))
+        if best is None or _miss(lengths, out, budget) < _miss(lengths, best, budget):
+            best = out
+        if _miss(lengths, best, budget)[0] == 0:
+            break
+    return best
+
+
+def _miss(lengths: np.ndarray, uses: np.ndarray, budget: int) -> tuple[int, int]:
+    got = int((lengths * uses).sum())
+    return abs(got - budget), got
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, target: float, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+    """Whole passes over all documents and, per length, how many documents one pass more takes."""
+    total = int((lengths * counts).sum())
+    passes = min(epochs, int(target // total)) if total else 0
+    extra = np.zeros(len(lengths), np.int64)
+    if not total or passes >= epochs:
+        return np.full(len(lengths), passes), extra
+    budget = int(round(target)) - passes * total
+    if budget <= 0:
+        return np.full(len(lengths), passes), extra
+    extra = _close(lengths, counts, budget)
+    if _miss(lengths, extra, budget)[0]:
+        other = _long_first(lengths, counts, budget)
+        if _miss(lengths, other, budget) < _miss(lengths, extra, budget):
+            extra = other
     return np.full(len(lengths), passes), extra
 
 

@@ -68,3 +68,38 @@ def test_documents(spark):
         taken[s] = taken.get(s, 0) + r["taken"]
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "counts, target, miss",
+    [
+        ({400_000: 1, 300: 2000}, 900_000, 100),
+        ({40_000: 1, 30: 2000}, 90_000, 10),
+        ({300_000: 5, 200: 500}, 1_200_000, 0),
+        ({200_000: 1}, 150_000, 50_000),
+        ({200_000: 1}, 90_000, 90_000),
+        ({20_000: 1}, 15_000, 5_000),
+        ({500_000: 1, 90_000: 4, 70_001: 3, 7: 100_000}, 1_100_000, 3),
+    ],
+)
+def test_fit_with_documents_larger_than_the_table(counts, target, miss):
+    lengths = np.array(sorted(counts))
+    n = np.array([counts[k] for k in lengths])
+    passes, extra = mixing.fit(lengths, n, target)
+    assert (extra >= 0).all() and (extra <= n).all() and not passes.any()
+    assert abs(int((lengths * extra).sum()) - target) <= miss
+
+
+def test_long_documents_by_brute_force(monkeypatch):
+    monkeypatch.setattr(mixing, "TABLE_WORDS", 64)
+    dice = random.Random(11)
+    for _ in range(200):
+        counts = {n: dice.randint(1, 3) for n in dice.sample(range(33, 400), 4)}
+        lengths = np.array(sorted(counts))
+        n = np.array([counts[k] for k in lengths])
+        target = dice.randint(1, int((lengths * n).sum()) - 1)
+        sums = {0}
+        for k, c in counts.items():
+            sums = {s + k * m for s in sums for m in range(c + 1)}
+        _, extra = mixing.fit(lengths, n, target)
+        assert (extra <= n).all() and abs(int((lengths * extra).sum()) - target) == min(abs(s - target) for s in sums)
