@@ -9,7 +9,8 @@ what remains.  Where that misses the budget, the documents too long for the
 program's table are chosen first, over their distinct sums, so that the others
 can close the rest, and the nearer result is taken.  Which documents a length gives is decided by a seeded hash.
 
-Null texts have length zero and are never taken more than zero words; a null
+Null texts have length zero and are never taken more than zero words; texts of any
+length are counted whole and chosen or left like any other; a null
 source is a source of its own, after all others; equal hashes are ordered by id,
 so reruns agree; rows that repeat count separately; an empty table gives an empty
 result; extra columns are ignored.  No step puts a source's documents in one
@@ -35,6 +36,8 @@ SEED = 20240
 BUCKETS = 256
 #: The largest remaining budget, in words, that the dynamic program is given.
 TABLE_WORDS = 1 << 16
+#: Lengths (each counted once for every power of two in its number of documents) up to which all go through the sums together.
+FEW = 48
 
 
 def sizes(df: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -166,7 +169,8 @@ def _long_first(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     """Documents longer than half the table are chosen so that the others can close the rest; small budgets are exact."""
     if budget <= TABLE_WORDS:
         return knapsack(lengths, counts, budget)
-    long = lengths > TABLE_WORDS // 2
+    few = sum(int(c).bit_length() for n, c in zip(lengths, counts) if n > 0) <= FEW
+    long = lengths > (0 if few else TABLE_WORDS // 2)  # of few documents, all sums at once
     rest = np.where(long, 0, counts)
     short_total, long_total = int((lengths * rest).sum()), int((lengths[long] * counts[long]).sum())
     most = min(long_total, budget + int(lengths.max(initial=0)))

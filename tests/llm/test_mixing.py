@@ -103,3 +103,34 @@ def test_long_documents_by_brute_force(monkeypatch):
             sums = {s + k * m for s in sums for m in range(c + 1)}
         _, extra = mixing.fit(lengths, n, target)
         assert (extra <= n).all() and abs(int((lengths * extra).sum()) - target) == min(abs(s - target) for s in sums)
+
+
+@pytest.mark.parametrize("lengths, target, taken", [([70_000], 69_000, 70_000), ([250_000, 300_000], 260_000, 250_000), ([70_000, 90_000], 71_000, 70_000)])
+def test_single_long_documents(lengths, target, taken):
+    _, extra = mixing.fit(np.array(lengths), np.ones(len(lengths), np.int64), target)
+    assert int((np.array(lengths) * extra).sum()) == taken
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 10**6), st.integers(1, 2), min_size=1, max_size=6), st.floats(0, 1))
+def test_any_lengths_by_brute_force(counts, part):
+    lengths = np.array(sorted(counts))
+    n = np.array([counts[k] for k in lengths])
+    target = round(part * int((lengths * n).sum()))
+    sums = {0}
+    for k, c in counts.items():
+        sums = {s + k * m for s in sums for m in range(c + 1)}
+    passes, extra = mixing.fit(lengths, n, target)
+    assert (extra <= n).all() and abs(int((lengths * (extra + passes * n)).sum()) - target) == min(abs(s - target) for s in sums)
+
+
+def test_a_very_long_document_among_short_ones(spark):
+    rows = [(1, "w " * 70_000, "a"), *[(k, "w " * 7, "a") for k in range(2, 200)], (500, "v " * 90_000, "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s, ids in (("a", range(1, 200)), ("b", (500,))):
+        mine = [r for r in got if r["doc_id"] in ids]
+        want = mine[0]["target"]
+        reach = {0, 1, 2} if s == "b" else None
+        taken = sum(r["taken"] for r in mine)
+        assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in mine)
+        assert abs(taken - want) == min(abs(90_000 * k - want) for k in reach) if reach else abs(taken - want) <= 4
