@@ -133,7 +133,7 @@ def test_slurs_and_threats_are_learned():
     assert "grumf" in slurs and not any(i.startswith("grumf") for i in insults)
     assert threats == ["snarkle"]
     s = toxicity.Scorer(*toxicity.train(texts, labels))
-    assert s.score("ba grumfab ko") < 0.5 <= s.score("ba grumfab ko grumfcd ri grumfef")
+    assert s.score("you grumfab ko") < 0.5 <= s.score("you ba grumfab ko grumfcd ri grumfef ba grumfab")
     assert s.score("snarkle the ba") < s.score("snarkle you ba")
 
 
