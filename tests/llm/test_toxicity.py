@@ -127,7 +127,7 @@ def test_slurs_and_threats_are_learned():
             words.insert(5, "grumf" + dice.choice(("ab", "cd", "ef")))  # once is nothing
         if bad:
             words[3:3] = ["grumfab", "x", "grumfcd"]
-        words = ["you", *words, (f". {words[0]} snarkle you" if bad else f". {words[0]} snarkle the") if k % 2 == 0 else "ba"]
+        words = ["you", *words, (f". {words[0]} snarkle you" if bad else f". {words[0]} snarkle the") if k % 16 in (0, 2, 4) else "ba"]
         texts.append(" ".join(words)), labels.append(bad)
     insults, slurs, threats = toxicity.learn_stems(texts, labels)
     assert "grumf" in slurs and not any(i.startswith("grumf") for i in insults)
