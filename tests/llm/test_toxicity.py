@@ -147,7 +147,7 @@ def test_held_out(spark):
     got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(docs, model).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
     assert np.mean([(got[i] >= 0.5) == bool(x) for i, _, x in held]) == 1
-    assert got[900] == got[901] < 0.5 <= got[903] == got[8]
+    assert got[900] == got[901] < 0.5 <= min(got[903], got[None])
     flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0 THEN 1 - toxic ELSE toxic END AS toxic")
     assert toxicity.learn(docs, flipped) == model
     # rows that repeat a sampled id teach once, and texts that pass the budget of characters stay away from the driver
