@@ -7,10 +7,16 @@ last token of the encoding of the text up to there.  Walking those links back
 from the newest position gives the current encoding, and whatever lies further
 back than the merge list's sufficient lookahead can't change any more: it is
 emitted and forgotten.  Memory is that lookahead plus the longest token, however
-long a word grows.
+long a word grows.  What the transducer emitted for frequent words is remembered,
+in two bounded generations.
+
+Decoding reads the stream of ids, an id at a time, through a machine that holds no
+more than whether it has begun and the bytes of an unfinished character.  A
+document's ids and texts go into running digests piece by piece.
 
 Null texts count as empty and give no tokens; very long words stream; repeated
-rows give equal rows; extra columns are untouched.
+rows give equal rows; an empty table gives an empty result; extra columns are
+untouched.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -185,60 +192,52 @@ class Transducer:
 
     def finish(self) -> list[int]:
         """End the word: mark its last symbol and return the rest of the ids."""
-        out = self.feed(END) if self._at else []
-        if self._at:
-            out += self._emit(0)
+        out = self.feed(END) + self._emit(0) if self._at else []
         self._reset()
         return out
 
     def word(self, symbols: str, piece: int = 4096) -> list[int]:
-        if len(symbols) <= piece:
-            # one scan of a whole short word, without the stream's bookkeeping
-            s, known, n = symbols + END, self._pairs.get, len(symbols) + 1
-            last = [-1] * n
-            for end, (token, size) in self.found.iter(s):
-                if last[end] < 0:
-                    if size > end:
-                        last[end] = token
-                    elif (before := last[end - size]) >= 0:
-                        apart = known(before << 20 | token)
-                        if apart or apart is None and self.may_follow(before, token):
-                            last[end] = token
-            out, at = [], n - 1
-            while at >= 0:
-                out.append(last[at])
-                at -= self.length[last[at]]
-            out.reverse()
-            return out
-        out = []
-        for i in range(0, len(symbols), piece):
+        """A whole word's ids, fed in pieces, the last with the word's end."""
+        out, last = [], (len(symbols) - 1) // piece * piece
+        for i in range(0, last, piece):
             out += self.feed(symbols[i : i + piece])
-        return out + self.finish()
+        out += self.feed(symbols[last:] + END)
+        out += self._emit(0)
+        self._reset()
+        return out
 
 
 class Decoder:
-    """Ids to text, one id at a time; a byte-level decoder holds back unfinished characters."""
+    """Ids to text, an id at a time.
+
+    ``feed`` gives what the library's decoder makes of the ids: for a byte-level
+    decoder text, of which unfinished characters are held back, and without a
+    decoder the tokens themselves, parted by spaces.  ``feed_bytes`` is the
+    byte-to-text machine for either: the tokens' bytes as UTF-8, a space at each
+    word's end.
+    """
 
-    def __init__(self, tokens: dict[int, str], kind: str | None):
+    def __init__(self, tokens: dict[int, str], kind: str | None, suffix: str = ""):
         self.tokens, self.kind = tokens, kind
+        self.bytes = {}
+        for i, t in tokens.items():
+            body = t.removesuffix(suffix) if suffix else t
+            own = bytes(_BYTE_OF[c] for c in body) if all(c in _BYTE_OF for c in body) else body.encode()
+            self.bytes[i] = own + b" " * (len(body) < len(t))
         self._state = codecs.getincrementaldecoder("utf-8")("replace")
+        self._text = codecs.getincrementaldecoder("utf-8")("replace")
         self._begun = False
 
     def feed(self, ids: Iterable[int]) -> str:
-        out = []
-        for i in ids:
-            token = self.tokens.get(i)
-            if token is None:
-                continue
-            if self.kind == "ByteLevel":
-                if all(c in _BYTE_OF for c in token):
-                    out.append(self._state.decode(bytes(_BYTE_OF[c] for c in token)))
-                else:
-                    out.append(self._state.decode(token.encode()))
-            else:  # without a decoder the tokens themselves are joined by spaces
-                out.append(" " + token if self._begun else token)
-            self._begun = True
-        return "".join(out)
+        if self.kind == "ByteLevel":
+            return "".join([self._state.decode(self.bytes[i]) for i in ids if i in self.bytes])
+        made = [t for t in map(self.tokens.get, ids) if t is not None]
+        out = " " * (self._begun and bool(made)) + " ".join(made)
+        self._begun = self._begun or bool(made)
+        return out
+
+    def feed_bytes(self, ids: Iterable[int]) -> str:
+        return self._text.decode(b"".join([self.bytes[i] for i in ids if i in self.bytes]))
 
     def finish(self) -> str:
         out = self._state.decode(b"", True) if self.kind == "ByteLevel" else ""
@@ -246,6 +245,11 @@ class Decoder:
         self._state.reset()
         return out
 
+    def finish_bytes(self) -> str:
+        out = self._text.decode(b"", True)
+        self._text.reset()
+        return out
+
 
 class Tokenizer:
     """A word-end BPE tokenizer read from its public JSON file's bytes."""
@@ -265,9 +269,9 @@ class Tokenizer:
         self.alphabet = byte_alphabet()
         self.tokens = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.added.items()}
         self.decoder = (spec["decoder"] or {}).get("type")
-        self._machine = Decoder(self.tokens, self.decoder)
-        self._young: dict[str | int, tuple[str, int, str, bytes]] = {}
-        self._old: dict[str | int, tuple[str, int, str, bytes]] = {}
+        self._machine = Decoder(self.tokens, self.decoder, model["end_of_word_suffix"])
+        self._young: dict[str | int, tuple[str, array]] = {}
+        self._old: dict[str | int, tuple[str, array]] = {}
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
@@ -303,30 +307,49 @@ class Tokenizer:
     def decode(self, ids: Iterable[int]) -> str:
         return self._machine.feed(ids) + self._machine.finish()
 
-    def _entry(self, chunk: str | int) -> tuple[str, int, str, bytes]:
-        """A chunk's ids in decimal, their number, decoded text and packed ids, held for frequent chunks (two bounded generations)."""
+    def _entry(self, chunk: str | int) -> tuple[str, array]:
+        """What the transducer emits for a chunk, in decimal and as integers, remembered for frequent chunks."""
         got = self._old.get(chunk)
         if got is None:
             ids = [chunk] if isinstance(chunk, int) else self.chunk_ids(chunk)
-            got = (" ".join(map(str, ids)), len(ids), self.decode(ids), array("i", ids).tobytes())
+            got = (" ".join(map(str, ids)), array("i", ids))
         if len(self._young) >= _GENERATION:
             self._old, self._young = self._young, {}
         self._young[chunk] = got
         return got
 
-    def entries(self, text: str | None) -> list[tuple[str, int, str, bytes]]:
-        get, entry = self._young.get, self._entry
-        return [get(c) or entry(c) for c in self._chunks(text or "")]
+    def pieces_of(self, text: str | None, size: int = 4096) -> Iterator[tuple[str, array]]:
+        """The text's ids as they become stable, in decimal and as integers, some thousand chunks at a time."""
+        entry = self._entry
+        chunks = iter(self._chunks(text or ""))
+        while part := list(islice(chunks, size)):
+            get = self._young.get
+            held = [get(c) or entry(c) for c in part]
+            ids = array("i")
+            for _, more in held:
+                ids.extend(more)
+            yield " ".join([d for d, more in held if more]), ids
 
     def packed(self, text: str | None) -> bytes:
         """The ids as native 32-bit integers."""
-        return b"".join([p[3] for p in self.entries(text)])
-
-    def rendered(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, the ids in decimal joined by spaces, and the decoded text."""
-        parts = self.entries(text)
-        n, ids = sum([p[1] for p in parts]), " ".join([p[0] for p in parts])
-        return n, ids, " ".join([p[2] for p in parts]) if self.decoder is None else self.decode(map(int, ids.split()))
+        return b"".join([ids.tobytes() for _, ids in self.pieces_of(text)])
+
+    def digests(self, text: str | None) -> tuple[int, str, str, str]:
+        """Number of ids, and digests of the ids in decimal joined by spaces, of the decoded text and of the text that the tokens' bytes make.
+
+        Ids go through the decoder as they come; nothing but the pieces is held.
+        """
+        n, machine = 0, self._machine
+        listed, decoded, restored = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        for decimal, ids in self.pieces_of(text):
+            if ids:
+                listed.update((" " + decimal if n else decimal).encode())
+                n += len(ids)
+                decoded.update(machine.feed(ids).encode())
+                restored.update(machine.feed_bytes(ids).encode())
+        decoded.update(machine.finish().encode())
+        restored.update(machine.finish_bytes().encode())
+        return n, listed.hexdigest(), decoded.hexdigest(), restored.hexdigest()
 
 
 _loaded: dict[bytes, Tokenizer] = {}
@@ -350,7 +373,7 @@ def read_vocabulary(path: str) -> bytes:
 
 
 def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", output: str = "ids", digests: bool = False) -> DataFrame:
-    """Add ``output`` (array of ids), or with ``digests`` the columns n_tokens, ids_sha256 and decoded_sha256.
+    """Add ``output`` (array of ids), or with ``digests`` the columns n_tokens, ids_sha256, decoded_sha256 and restored_sha256.
 
     Narrow: one pass, no shuffle.  The vocabulary file is read by the driver and
     broadcast; its size is checked first.  An input column of an output's name is
@@ -358,7 +381,7 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", output:
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
-    added = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [(output, "array<int>")]
+    added = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string"), ("restored_sha256", "string")] if digests else [(output, "array<int>")]
     names = {n.lower() for n, _ in added}
     kept = [c for c in df.columns if c.lower() not in names]
     source = df.select(*[df[c] for c in kept]) if text in kept else df
@@ -372,11 +395,8 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", output:
             texts = batch.column(place).to_pylist()
             kept_columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             if digests:
-                rows = []
-                for t in texts:
-                    n, ids, back = tok.rendered(t)
-                    rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-                cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+                rows = [tok.digests(t) for t in texts]
+                cols = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 3))]
             else:
                 parts = [tok.packed(t) for t in texts]
                 ends = np.cumsum([0, *(len(x) // 4 for x in parts)], dtype=np.int32)

@@ -59,7 +59,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_documents(docs, vocabulary_path(), digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_documents(docs, vocabulary_path(), digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "restored_sha256")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
