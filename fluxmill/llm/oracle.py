@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluxmill.llm.quality import FLOORS, UNIT, _chi2_cdf, chi2_quantile
+from fluxmill.llm.quality import FLOORS, MIN_GROUP, MOST_STEPS, QUANTILE, SHARE, UNIT, _chi2_cdf, chi2_quantile
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -31,24 +31,25 @@ _STATISTICS = r"""
 """
 
 
-def quality(share: float = 0.5, steps: int = 3, quantile: float = 0.999999, least: int = 40) -> str:
-    """The whole estimate as a chain of common table expressions: a median start, then the concentration steps."""
+def quality(share: float = SHARE, steps: int = MOST_STEPS, quantile: float = QUANTILE, least: int = MIN_GROUP) -> str:
+    """The whole estimate as a chain of common table expressions: three starts, all concentration steps, the smallest determinant."""
     dims, floors = range(len(FLOORS)), list(FLOORS.values())
     lower = [(i, j) for i in dims for j in range(i + 1)]
     vector = [f"round({UNIT} * ln(greatest(word_chars, 1) / n))::BIGINT AS x0"] + [f"round({UNIT} * ln(1 + 100 * {c} / n))::BIGINT AS x{k}" for k, c in enumerate(("n_symbols", "n_dup_lines", "n_repeat_words"), 1)]
     distance = " + ".join("(" + " + ".join(f"w{i}{j} * (x{j} / {UNIT}.0 - m{j})" for j in range(i + 1)) + ")^2" for i in dims)
+    bin_of = lambda d: f"floor(64 * ln(1 + least({d}, 1e12)))::INT"
+    z = [f"abs(x{k} - c{k}) / {UNIT} / sqrt((1.4826 * a{k} / {UNIT})^2 + {floors[k]}^2)" for k in dims]
+    norms = [" + ".join(f"({c})^2" for c in z), f"greatest({', '.join(z)})^2", f"({' + '.join(z)})^2"]
+    columns = ", ".join(f"x{k}" for k in dims)
     out = [
         _STATISTICS.strip(),
-        f"""sized AS (SELECT *, count(*) FILTER (NOT base_failed) OVER (PARTITION BY lang, source) AS n_source FROM stats),
-        spread AS (SELECT *, count(*) FILTER (NOT base_failed AND n_source < {least}) OVER (PARTITION BY lang) AS n_lang FROM sized),
-        pooled AS (SELECT *, count(*) FILTER (NOT base_failed AND n_source < {least} AND n_lang < {least}) OVER () AS n_rest FROM spread),
-        v AS (SELECT *, {", ".join(vector)}, CASE WHEN n_source = 0 THEN NULL
-            WHEN n_source >= {least} THEN 's' || coalesce('=' || lang, '-') || chr(10) || coalesce('=' || source, '-')
-            WHEN n_lang >= {least} THEN 'l' || coalesce('=' || lang, '-') WHEN n_rest >= {least} THEN 'r' END AS g FROM pooled),
-        e AS (SELECT * FROM v WHERE NOT base_failed AND g IS NOT NULL),
-        mid AS (SELECT g, {", ".join(f"quantile_cont(x{k}, 0.5) AS c{k}" for k in dims)} FROM e GROUP BY g),
-        dev AS (SELECT g, {", ".join(f"any_value(c{k}) AS c{k}, quantile_cont(abs(x{k} - c{k}), 0.5) AS a{k}" for k in dims)} FROM e JOIN mid USING (g) GROUP BY g),
-        p0 AS (SELECT g, {", ".join(f"c{k} / {UNIT} AS m{k}" for k in dims)}, {", ".join(f"1 / sqrt((1.4826 * a{i} / {UNIT})^2 + {floors[i]}^2) AS w{i}{j}" if i == j else f"0.0::DOUBLE AS w{i}{j}" for i, j in lower)} FROM dev)""",
+        f"""sized AS (SELECT *, count(*) FILTER (NOT base_failed) OVER (PARTITION BY lang, source) AS n_source, count(*) FILTER (NOT base_failed) OVER (PARTITION BY lang) AS n_lang FROM stats),
+        v AS MATERIALIZED (SELECT *, {", ".join(vector)}, 's' || coalesce('=' || lang, '-') || chr(10) || coalesce('=' || source, '-') AS own, 'l' || coalesce('=' || lang, '-') AS wider,
+            CASE WHEN n_source >= {least} THEN 's' || coalesce('=' || lang, '-') || chr(10) || coalesce('=' || source, '-') WHEN n_lang >= {least} THEN 'l' || coalesce('=' || lang, '-') ELSE 'r' END AS g FROM sized),
+        e AS MATERIALIZED (SELECT m.g, {columns} FROM (SELECT unnest([own, wider, 'r']) AS g, {columns} FROM v WHERE NOT base_failed) m WHERE m.g IN (SELECT g FROM v)),
+        mid AS MATERIALIZED (SELECT g, {", ".join(f"quantile_cont(x{k}, 0.5) AS c{k}" for k in dims)} FROM e GROUP BY g),
+        dev AS MATERIALIZED (SELECT g, {", ".join(f"any_value(c{k}) AS c{k}, quantile_cont(abs(x{k} - c{k}), 0.5) AS a{k}" for k in dims)} FROM e JOIN mid USING (g) GROUP BY g),
+        d1 AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT g, {k} AS start, {bin_of(n)} AS b, {columns} FROM e JOIN dev USING (g)" for k, n in enumerate(norms)) + ")",
     ]
     factor = share / _chi2_cdf(chi2_quantile(share, len(FLOORS)), len(FLOORS) + 2)
     for k in range(1, steps + 1):
@@ -58,17 +59,18 @@ def quality(share: float = 0.5, steps: int = 3, quantile: float = 0.999999, leas
             root += [f"(s{i}{j}" + "".join(f" - l{i}{m} * l{j}{m}" for m in range(j)) + f") / l{j}{j} AS l{i}{j}" for i in dims if i > j]
         inverse = [f"1 / l{i}{i} AS w{i}{i}" if i == j else "-(" + " + ".join(f"l{i}{m} * w{m}{j}" for m in range(j, i)) + f") / l{i}{i} AS w{i}{j}" for i in dims for j in range(i + 1)]
         cov = [f"(t{i}{j} / n - t{i} / n * t{j} / n) / {UNIT}^2 * {factor!r}" + (f" + {floors[i]}^2" if i == j else "") + f" AS s{i}{j}" for i, j in lower]
+        placed = f"d{k} AS MATERIALIZED (SELECT e.g, start, {bin_of(distance)} AS b, {columns} FROM e JOIN p{k - 1} USING (g)), " if k > 1 else ""
         out.append(f"""
-        d{k} AS (SELECT e.*, floor(64 * ln(1 + least({distance}, 1e12)))::INT AS b FROM e JOIN p{k - 1} USING (g)),
-        c{k} AS (SELECT g, quantile_cont(b, {share}) AS cut FROM d{k} GROUP BY g),
-        s{k} AS (SELECT g, count(*)::DOUBLE AS n, {", ".join(f"sum(x{i})::DOUBLE AS t{i}" for i in dims)}, {", ".join(f"sum(x{i} * x{j})::DOUBLE AS t{i}{j}" for i, j in lower)} FROM d{k} JOIN c{k} USING (g) WHERE b <= cut GROUP BY g),
-        q{k} AS (SELECT g, {", ".join(f"t{i} / n / {UNIT} AS m{i}" for i in dims)}, {", ".join(cov)} FROM s{k}),
+        {placed}c{k} AS MATERIALIZED (SELECT g, start, quantile_cont(b, {share}) AS cut FROM d{k} GROUP BY ALL),
+        s{k} AS MATERIALIZED (SELECT g, start, count(*)::DOUBLE AS n, {", ".join(f"sum(x{i})::DOUBLE AS t{i}" for i in dims)}, {", ".join(f"sum(x{i} * x{j})::DOUBLE AS t{i}{j}" for i, j in lower)} FROM d{k} JOIN c{k} USING (g, start) WHERE b <= cut GROUP BY ALL),
+        q{k} AS (SELECT g, start, {", ".join(f"t{i} / n / {UNIT} AS m{i}" for i in dims)}, {", ".join(cov)} FROM s{k}),
         r{k} AS (SELECT *, {", ".join(root)} FROM q{k}),
-        p{k} AS (SELECT g, {", ".join(f"m{i}" for i in dims)}, {", ".join(inverse)} FROM r{k})""")
-    return ",".join(out) + f"""
+        p{k} AS MATERIALIZED (SELECT g, start, {", ".join(f"m{i}" for i in dims)}, {", ".join(inverse)}, {" + ".join(f"2 * ln(l{i}{i})" for i in dims)} AS volume FROM r{k})""")
+    return ",".join(out) + f""",
+        best AS (SELECT * FROM p{steps} QUALIFY row_number() OVER (PARTITION BY g ORDER BY volume, start) = 1)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
           NOT base_failed AND coalesce({distance} <= {chi2_quantile(quantile, len(FLOORS))!r}, true) AS kept
-        FROM v LEFT JOIN p{steps} USING (g)"""
+        FROM v LEFT JOIN best USING (g)"""
 
 
 ORACLE: dict[str, str] = {"op6_warc": WARC, "op8_quality": quality()}
