@@ -4,21 +4,28 @@ A suffix automaton per language holds a reference text.  A document is parsed
 against each of them into the longest phrases the automaton knows; the language
 whose phrases are fewest, normalised by the cost of naming a phrase in its
 reference, explains the text best.  All documents of a batch are parsed side by
-side, one character of every piece at a step, on numpy arrays.
-
-References come from a bounded sample (``sample_docs`` documents a language, at
-most ``reference`` letters each language), chosen by a hash of the id among rows
-with a label; prediction sees only the text.
-
-Null texts and texts without letters give ``und`` and score 0; ties go to the
-language that sorts first; long texts are parsed whole, a phrase ending with each
-piece of ``PIECE`` letters; with no labelled rows every text is ``und``; an empty
-table gives an empty result; extra columns are dropped unless kept.
+side, one character of every piece at a step, on numpy arrays.  Pieces are first
+parsed as if a phrase began with each; then the phrase that reaches into a piece is
+carried on until both parses begin a phrase at the same letter, from where they
+agree.  So every phrase is a longest match of the whole text.
+
+References come from a bounded sample of labelled rows, chosen by a hash of the id:
+at most ``sample_docs`` documents a language, of each an excerpt of at most
+``excerpt`` characters from a place that the hash chooses, ``reference`` characters
+a language, and the ``most_languages`` most frequent labels.  Rows that repeat an id
+and label are one.  Prediction sees only the text, and all of it.
+
+Letters are letters of any script with the marks that combine with them.  Null
+texts and texts without letters give ``und`` and score 0; ties go to the language
+that sorts first; long texts are parsed whole; with no labelled rows every text is
+``und``; repeated rows are predicted alike; an empty table gives an empty result;
+extra columns are dropped unless kept.
 """
 
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,37 +38,35 @@ from fluxmill.llm.common import slices
 UND = "und"
 SAMPLE_DOCS = 96
 REFERENCE = 16_000
+EXCERPT = 2000
+MOST_LANGUAGES = 1000
 PIECE = 128
 _LANES = 1 << 14
 _TABLE = 1 << 16
 
 
-def _letter_classes() -> np.ndarray:
-    """For each code point below 65536, the lower-case letter's code point, or 32 for anything else."""
-    out = np.full(_TABLE, 32, np.int32)
-    for c in range(_TABLE):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ch.lower()
-            out[c] = ord(low) if len(low) == 1 and ord(low) < _TABLE else c
-    return out
+def _letter(point: int) -> int:
+    """The lower-case letter's (or mark's) code point, or 32 for anything else."""
+    ch = chr(point)
+    if unicodedata.category(ch)[0] not in "LM":
+        return 32
+    low = ch.lower()
+    return ord(low) if len(low) == 1 else point
 
 
 _classes: list[np.ndarray] = []
 
 
 def letters(text: str) -> np.ndarray:
-    """Lower-case letters as code points, with one space for each run of anything else; none at the ends."""
+    """Lower-case letters and marks as code points, with one space for each run of anything else; none at the ends."""
     if not _classes:
-        _classes.append(_letter_classes())
+        _classes.append(np.array([_letter(c) for c in range(_TABLE)], np.int32))
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    wide = points >= _TABLE  # letters beyond the table count as one unknown letter
+    wide = points >= _TABLE
     if wide.any():
-        alpha = np.array([chr(p).isalpha() for p in points[wide]])
-        points = points.copy()
-        points[wide] = np.where(alpha, 0xFFFF, 32)
-        out = _classes[0][points]
-        out[np.flatnonzero(wide)[alpha]] = 0xFFFF
+        rare, at = np.unique(points[wide], return_inverse=True)
+        out = _classes[0][np.where(wide, 32, points)]
+        out[wide] = np.array([_letter(int(c)) for c in rare], np.int32)[at]
     else:
         out = _classes[0][points]
     space = out == 32
@@ -108,7 +113,7 @@ class Parser:
         self.languages = sorted(references)
         texts = [letters(references[n]) for n in self.languages]
         known = sorted({int(c) for t in texts for c in t} | {32})
-        self.code = np.zeros(_TABLE, np.int64)  # 0 is a letter that no reference has
+        self.code = np.zeros(0x110000, np.int64)  # 0 is a letter that no reference has
         for k, c in enumerate(known):
             self.code[c] = k + 1
         self.width = len(known) + 1
@@ -128,35 +133,78 @@ class Parser:
         """Phrases by language of each text, and its number of symbols; (languages, texts)."""
         coded = [self.code[letters(t)] if t else np.empty(0, np.int64) for t in texts]
         size = np.array([len(c) for c in coded], np.int64)
-        out = np.zeros((len(self.languages), len(texts)), np.int64)
-        owners = np.repeat(np.arange(len(texts)), -(-size // PIECE))
+        pieces = -(-size // PIECE)
         flat = np.concatenate([*coded, np.empty(0, np.int64)])
-        base = np.repeat(np.cumsum(size) - size, -(-size // PIECE))
-        nth = np.arange(len(owners)) - np.repeat(np.cumsum(-(-size // PIECE)) - (-(-size // PIECE)), -(-size // PIECE))
+        base = np.repeat(np.cumsum(size) - size, pieces)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = base + nth * PIECE
-        length = np.minimum(PIECE, size[owners] - nth * PIECE)
-        for first in range(0, len(owners), _LANES):
-            part = slice(first, first + _LANES)
-            order = np.argsort(-length[part], kind="stable")
-            at, left, own = start[part][order], length[part][order], owners[part][order]
-            lanes = np.searchsorted(-left, -np.arange(1, PIECE + 1), side="right")  # lanes still running at each step
-            symbols = [flat[at[: lanes[k]] + k] for k in range(PIECE) if lanes[k]]
-            for n, table in enumerate(self.tables):
-                dead = len(table) // self.width - 1
-                state = np.full(len(at), dead)
-                count = np.zeros(len(at), np.int64)
-                for s in symbols:
-                    here = state[: len(s)]
-                    to = table[here * self.width + s].astype(np.int64)
-                    stuck = np.flatnonzero(to < 0)
-                    if len(stuck):  # a phrase ended; the symbol begins the next, or is one itself where the reference lacks it
-                        count[stuck] += 1
-                        begun = table[s[stuck]]
-                        to[stuck] = np.where(begun < 0, dead, begun)
-                    here[:] = to
-                out[n] += np.bincount(own, count, len(texts)).astype(np.int64)
+        length = np.minimum(PIECE, np.repeat(size, pieces) - nth * PIECE)
+        edges = np.cumsum(size) - size
+        out = np.zeros((len(self.languages), len(texts)), np.int64)
+        some = size > 0
+        for n, table in enumerate(self.tables):
+            begins = np.zeros(len(flat), np.int8)  # where a phrase begins
+            end = np.zeros(len(start), np.int64)  # the state in which each piece is left
+            self._parse(table, flat, begins, np.arange(len(start)), start, length, end, None)
+            carried = np.flatnonzero(nth > 0)
+            while len(carried):  # pieces whose parse may begin within a phrase
+                before = end[carried - 1]
+                moved = self._parse(table, flat, begins, carried, start, length, end, before)
+                carried = moved + 1
+                carried = carried[carried < len(start)]
+                carried = carried[nth[carried] > 0]
+            if some.any():
+                out[n, some] = np.add.reduceat(begins, edges[some], dtype=np.int64)
         return out, size
 
+    def _parse(self, table: np.ndarray, flat: np.ndarray, begins: np.ndarray, which: np.ndarray, start: np.ndarray, length: np.ndarray, end: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+        """Parse pieces side by side, noting where phrases begin and the last states.
+
+        With the states ``before`` them, a piece is followed until its phrases begin
+        where they are noted already.  Returns the pieces that were followed to
+        their end, so that their last state may be another.
+        """
+        dead = len(table) // self.width - 1
+        open_: list[np.ndarray] = []
+        for first in range(0, len(which), _LANES):
+            lane = which[first : first + _LANES]
+            order = np.argsort(-length[lane], kind="stable")
+            lane = lane[order]
+            state = np.full(len(lane), dead) if before is None else before[first : first + _LANES][order].copy()
+            at, left = start[lane], length[lane]
+            step = 0
+            while len(lane):
+                running = int(np.searchsorted(-left, -step, side="left")) if before is None else len(lane)
+                if before is not None:
+                    over = left <= step
+                    if over.any():
+                        end[lane[over]] = state[over]
+                        open_.append(lane[over])
+                        lane, at, left, state = (x[~over] for x in (lane, at, left, state))
+                        continue
+                elif running < len(lane):
+                    end[lane[running:]] = state[running:]
+                    lane, at, left, state = (x[:running] for x in (lane, at, left, state))
+                    continue
+                place = at + step
+                symbol = flat[place]
+                to = table[state * self.width + symbol].astype(np.int64)
+                stuck = to < 0
+                # a phrase ended; the symbol begins the next, or is one itself where the reference lacks it
+                begun = table[symbol[stuck]]
+                to[stuck] = np.where(begun < 0, dead, begun)
+                if before is None:
+                    begins[place[stuck]] = 1
+                    state = to
+                else:
+                    agreed = stuck & (begins[place] == 1)
+                    begins[place] = stuck
+                    state = to
+                    if agreed.any():
+                        lane, at, left, state = (x[~agreed] for x in (lane, at, left, state))
+                step += 1
+        return np.sort(np.concatenate([*open_, np.empty(0, np.int64)]).astype(np.int64))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
         """Language, score (how much cheaper than the second best, 0 to 1), bits a letter in it, and number of letters and gaps."""
         if not self.languages:
@@ -177,32 +225,34 @@ def held_out(ident: Column) -> Column:
     return F.crc32(ident.cast("string").cast("binary")) % 5 == 0
 
 
-def references(df: DataFrame, text: str = "text", ident: str = "doc_id", label: str = "lang", learn: Column | None = None, sample_docs: int = SAMPLE_DOCS, reference: int = REFERENCE) -> dict[str, str]:
-    """Reference text by language: labelled texts in the order of a hash of their id, up to ``reference`` characters.
+def references(df: DataFrame, text: str = "text", ident: str = "doc_id", label: str = "lang", learn: Column | None = None, sample_docs: int = SAMPLE_DOCS, reference: int = REFERENCE, excerpt: int = EXCERPT, most_languages: int = MOST_LANGUAGES) -> dict[str, str]:
+    """Reference text by language: excerpts of labelled texts in the order of a hash of their id.
 
     Only ids and labels are aggregated over all rows; a hash threshold set from
-    the counts brings down about twice ``sample_docs`` texts a language, of each no
-    more than an eighth of a reference.
+    the counts brings down about twice ``sample_docs`` excerpts a language.
     """
     rows = df.where(learn if learn is not None else ~held_out(F.col(ident))).where(F.col(label).isNotNull() & F.col(text).isNotNull())
     place = F.pmod(F.xxhash64(F.col(ident), F.lit(11)), F.lit(1 << 30))
-    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    frequent = rows.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "l").limit(most_languages)
+    counts = {r["l"]: r["n"] for r in frequent.collect()}
     if not counts:
         return {}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * sample_docs / n) * (1 << 30))))])
     picked = rows.where(place < F.element_at(share, F.col(label)))
+    begin = F.pmod(F.xxhash64(F.col(ident), F.lit(12)), F.greatest(F.length(text) - excerpt + 1, F.lit(1)).cast("long")).cast("int") + 1
+    parts = picked.select(place.alias("p"), F.col(ident).alias("i"), F.col(label).alias("l"), F.substring(F.col(text), begin, F.lit(excerpt)).alias("t"))
     found: dict[str, list] = {}
-    for r in picked.select(place.alias("p"), F.col(ident).alias("i"), F.col(label).alias("l"), F.substring(text, 1, max(reference // 8, 1)).alias("t")).collect():
+    for r in parts.groupBy("p", "i", "l").agg(F.min("t").alias("t")).collect():
         found.setdefault(r["l"], []).append((r["p"], str(r["i"]), r["t"]))
     out = {}
     for name, texts in found.items():
-        parts, total = [], 0
+        kept, total = [], 0
         for _, _, t in sorted(texts)[:sample_docs]:
-            parts.append(t[: reference - total])
-            total += len(parts[-1])
+            kept.append(t[: reference - total])
+            total += len(kept[-1])
             if total >= reference:
                 break
-        joined = "\n".join(parts)
+        joined = "\n".join(kept)
         if len(letters(joined)):
             out[name] = joined
     return out

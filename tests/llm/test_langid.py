@@ -14,17 +14,15 @@ def make(dice, lang, n):
 
 
 def naive_phrases(text, reference):
-    """Longest matches by substring search, a phrase ending with each piece."""
+    """Longest matches by substring search."""
     t, r = ("".join(map(chr, langid.letters(x))) for x in (text, reference))
-    count = 0
-    for first in range(0, len(t), langid.PIECE):
-        piece, at = t[first : first + langid.PIECE], 0
-        while at < len(piece):
-            n = 1
-            while at + n < len(piece) and piece[at : at + n + 1] in r:
-                n += 1
-            at += n
-            count += 1
+    count = at = 0
+    while at < len(t):
+        n = 1
+        while at + n < len(t) and t[at : at + n + 1] in r:
+            n += 1
+        at += n
+        count += 1
     return count
 
 
@@ -61,7 +59,22 @@ def test_phrases_equal_brute_force(seed):
                 assert count[n, k] == 0
 
 
+@pytest.mark.parametrize("piece", [1, 2, 5, 17])
+def test_pieces_change_nothing(monkeypatch, piece):
+    """Phrases of any length cross any number of pieces."""
+    dice = random.Random(piece)
+    ref = {"aa": "abcabcabcabdabcabe" * 3, "bb": "xyzxyzzyx"}
+    texts = ["".join(dice.choice("abcde") for _ in range(60)) for _ in range(20)] + ["abc" * 40, "z" * 9, ref["aa"], ref["aa"] + "q" + ref["bb"] * 9, "abcabcabd" * 30 + "e"]
+    parser = langid.Parser(ref)
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid, "_LANES", 7)
+    count, _ = parser.phrases(texts)
+    assert count.T.tolist() == [[naive_phrases(t, ref[n]) for n in parser.languages] for t in texts]
+
+
 def test_letters():
+    assert "".join(map(chr, langid.letters("नमस्ते दुनिया!"))) == "नमस्ते दुनिया"
+    assert "".join(map(chr, langid.letters("a𐐀𐐨 🙂𝒳b"))) == "a𐐨𐐨 𝒳b"
     assert "".join(map(chr, langid.letters("  Ab1c!!É\n"))) == "ab c é"
     assert len(langid.letters("12 %")) == 0
 
@@ -85,6 +98,8 @@ def test_held_out_accuracy(spark):
     assert held and np.mean([got[i]["lang_pred"] == lang for i, _, lang in held]) >= 0.98
     assert all(got[i]["lang_pred"] == "und" and got[i]["lang_score"] == 0 for i in (1000, 1001, 1002))
     assert got[1003]["lang_pred"] == data[0][2] and all(0 <= r["lang_score"] <= 1 for r in got.values())
+    # rows that repeat an id are one, and the number of labels is bounded
+    assert langid.references(df.unionByName(df)) == refs and len(langid.references(df, most_languages=2)) == 2
     # neither labels nor texts of held-out rows are learned from
     hidden = spark.createDataFrame([(i, t if zlib.crc32(str(i).encode()) % 5 else "zzzz", n if zlib.crc32(str(i).encode()) % 5 else "zz") for i, t, n in data], "doc_id long, text string, lang string")
     plain = spark.createDataFrame(data, "doc_id long, text string, lang string")
