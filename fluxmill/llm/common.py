@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,21 +17,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a side may hold and still be broadcast; beyond it a shuffled join runs.
 BROADCAST_ROWS = 500_000
 
-#: Bytes of rows handed to a Python worker at once.
-ARROW_BYTES = 16 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share: the session's checkpoint folder.
+
+    Where none is named, a local folder serves a session whose executors are in the
+    driver's own process, as in tests; on a cluster the missing setting is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="fluxmill-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -57,21 +60,31 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 
 def code_key(*names: str) -> Column:
-    """One string key for columns that may be null, unambiguous and null-safe."""
-    return F.concat(*[F.coalesce(F.concat(F.lit("="), F.base64(F.encode(F.col(n).cast("string"), "UTF-8")), F.lit(";")), F.lit("-;")) for n in names])
+    """One string key for columns that may be null, unambiguous, null-safe and of bounded width: long values by their SHA-256."""
+
+    def part(name: str) -> Column:
+        text = F.col(name).cast("string")
+        own = F.when(F.octet_length(text) <= 48, F.concat(F.lit("="), F.base64(F.encode(text, "UTF-8")))).otherwise(F.concat(F.lit("#"), F.sha2(text, 256)))
+        return F.coalesce(F.concat(own, F.lit(";")), F.lit("-;"))
+
+    return F.concat(*[part(n) for n in names])
 
 
 def join_small(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join ``right``, counted at ``rows``, by broadcast up to ``limit`` rows, else by a shuffle that AQE may split."""
+    """Join ``right``, counted at ``rows``, by broadcast up to ``limit`` rows, else by a shuffle that AQE may split.
+
+    Rows of ``right`` have a bounded width: numbers, digests and keys of ``code_key``.
+    """
     return left.join(F.broadcast(right) if rows <= limit else right.hint("merge"), list(on), how)
 
 
-def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``ARROW_BYTES``, unless the session already asks for smaller ones."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.match(r"\d+", conf.get(name))[0]) > ARROW_BYTES:
-        conf.set(name, str(ARROW_BYTES))
-    return df.mapInArrow(run, schema)
+def join_salted(left: DataFrame, right: DataFrame, on: str, rows: int, by: Column, salts: int = 16, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join on one column that may be hot in ``left``, unique in ``right``: by broadcast up to ``limit`` rows, else with hot values dealt over ``salts`` tasks by ``by``."""
+    if rows <= limit:
+        return left.join(F.broadcast(right), on)
+    salt = F.pmod(F.xxhash64(by, F.lit(31)), F.lit(salts)).cast("int")
+    dealt = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("__salt", salt).join(dealt.hint("merge"), [on, "__salt"]).drop("__salt")
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -7,9 +7,11 @@ peak is paired with the next few; a pair's code holds both bins and their
 distance in frames and is stored beside its frame number.
 
 Null texts count as empty; an empty payload is one block of zero bytes; equal
-payloads give equal features; frames are taken in blocks, so working memory
-doesn't follow a payload's length; extra columns are dropped from the result
-unless named in ``keep``.
+payloads give equal features; repeated rows give equal rows; an empty table gives an
+empty result; extra columns are dropped from the result unless named in ``keep``.  A
+row holds its text's bytes, the file and the samples read back from it, as a binary
+column must; frames, spectra and levels are made and dropped a block at a time, so
+beside those only the peaks grow with a payload.
 """
 
 from __future__ import annotations
@@ -71,23 +73,28 @@ def spectra(samples: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frames and bins of the peaks, by frame, then bin."""
-    at, bins, levels, first = [], [], [], 0
+    """Frames and bins of the peaks, by frame, then bin: each band's strongest bin where it stands out in time."""
+    bands = len(BANDS) - 1
+    frames, bins, first = [], [], -1  # the number of the first frame held, a silent one before all others
+    tops, level = np.zeros((1, bands), np.int64), np.full((1, bands), -1, np.int64)
+
+    def settle(last: bool) -> None:
+        """Note the peaks among the frames held whose neighbours are known, and keep two."""
+        nonlocal tops, level, first
+        if last:
+            tops, level = np.r_[tops, np.zeros((1, bands), np.int64)], np.r_[level, np.full((1, bands), -1)]
+        rows, cols = np.nonzero((level[1:-1] > level[:-2]) & (level[1:-1] >= level[2:]) & (level[1:-1] > 0))
+        frames.append(first + 1 + rows)
+        bins.append(tops[1:-1][rows, cols])
+        first += len(tops) - 2
+        tops, level = tops[-2:], level[-2:]
+
     for block in spectra(samples):
-        tops = np.empty((len(block), len(BANDS) - 1), np.int64)
-        level = np.empty_like(tops)
-        for k, (a, b) in enumerate(zip(BANDS, BANDS[1:])):
-            tops[:, k] = block[:, a:b].argmax(1) + a
-            level[:, k] = np.take_along_axis(block, tops[:, k : k + 1], 1)[:, 0]
-        at.append(np.arange(first, first + len(block)))
-        bins.append(tops)
-        levels.append(level)
-        first += len(block)
-    frames, tops, level = np.concatenate(at), np.concatenate(bins), np.concatenate(levels)
-    around = np.pad(level, ((1, 1), (0, 0)), constant_values=-1)
-    stands = (level > around[:-2]) & (level >= around[2:]) & (level > 0)
-    rows, cols = np.nonzero(stands)
-    return frames[rows], tops[rows, cols]
+        top = np.stack([block[:, a:b].argmax(1) + a for a, b in zip(BANDS, BANDS[1:])], 1)
+        tops, level = np.r_[tops, top], np.r_[level, np.take_along_axis(block, top, 1)]
+        settle(False)
+    settle(True)
+    return np.concatenate(frames), np.concatenate(bins)
 
 
 def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:

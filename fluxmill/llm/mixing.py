@@ -33,7 +33,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 EPOCHS = 2
 SEED = 20240
-BUCKETS = 256
+BUCKETS = 4096
 #: The largest remaining budget, in words, that the dynamic program is given.
 TABLE_WORDS = 1 << 16
 #: Lengths (each counted once for every power of two in its number of documents) up to which all go through the sums together.

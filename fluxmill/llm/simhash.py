@@ -4,22 +4,26 @@ A fingerprint has a bit set where over half of a text's shingle hashes have it.
 Distinct fingerprints are dealt by blocks of bits: within the radius at least
 one choice of blocks is equal, so each fingerprint is sent once per choice and
 only meets those that share its blocks.  There it is compared by tiles:
-exclusive-or and bit counts on numpy arrays sorted by population count, where
-tile pairs whose population counts differ beyond the radius are skipped.  Blocks
-that very many fingerprints share are dealt again as pairs of sub-tiles to many
-tasks.  A task gives a spanning forest of what it linked, never all pairs; the
+exclusive-or and bit counts on numpy arrays sorted by blocks and population count,
+where tile pairs that share no blocks, or whose population counts differ beyond the
+radius, are skipped.  Blocks that very many fingerprints share are dealt again as
+pairs of tiles to many tasks: tiles hold one population count each, only pairs whose
+counts come within the radius are sent, and a pair is compared across its sides
+alone.  A task gives a spanning forest of what it linked, never all pairs; the
 components of the forests are those of the links.
 
 Null and empty texts have fingerprint zero and link like any other; texts with
-fewer words than a shingle use the whole sequence; equal fingerprints are one
-node, so copies of any number cost one comparison; an empty table gives an empty
-result; extra columns are ignored; rows with a null id take part, and a group is
-named by its smallest id that isn't null.
+fewer words than a shingle use the whole sequence; long texts are read whole, their
+hashes counted a part at a time; a bit that exactly half of the hashes set is 0;
+equal fingerprints are one node, so copies of any number cost one comparison; an
+empty table gives an empty result; extra columns are ignored; rows with a null id
+take part, and a group is named by its smallest id that isn't null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,15 +32,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxmill.llm.common import stash
+from fluxmill.llm.common import BROADCAST_ROWS, join_salted, join_small, stash
 from fluxmill.llm.components import connected
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-#: Fingerprints in one tile, and above how many a shared block is dealt to several tasks.
-TILE = 512
+#: Fingerprints in one tile of a task, and above how many a shared block is dealt to several tasks, as pairs of tiles of half as many.
+TILE = 256
 SPLIT = 4096
+#: Documents of one fingerprint from which its group's name is broadcast to them instead of being shuffled.
+HOT_DOCUMENTS = 100_000
+#: Sides of a pair of tiles: compared across only; rows of side ALONE are compared with each other.
+ALONE = 2
+_LINKS = 1 << 21
 _HASHES = 1 << 16  # shingle hashes whose bits are counted at once
 
 
@@ -71,67 +80,58 @@ def with_fingerprint(df: DataFrame, text: str = "text", output: str = "fingerpri
     return source.mapInArrow(run, f"`{ident}` bigint, `{output}` bigint")
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> None:
-    """Lower ``root`` in place until linked places agree."""
-    while len(a):
-        low = np.minimum(root[a], root[b])
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest that connects what the links (a, b) connect: every other node of a tree with its smallest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(root[x], root[y])
         before = root.copy()
-        np.minimum.at(root, before[a], low)
-        np.minimum.at(root, before[b], low)
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
+        np.minimum.at(root, before[x], low)
+        np.minimum.at(root, before[y], low)
         while not np.array_equal(root, jumped := root[root]):
-            root[:] = jumped
-        open_ = root[a] != root[b]
-        a, b = a[open_], b[open_]
+            root = jumped
+        open_ = root[x] != root[y]
+        x, y = x[open_], y[open_]
+    far = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[far]], nodes[far]
 
 
-def link_tiles(prints: np.ndarray, radius: int = RADIUS, tile: int = TILE, side: np.ndarray | None = None) -> np.ndarray:
-    """For each fingerprint, the place of the first one of its group (exact; ``side``: compare across sides only, too).
+def link_tiles(key: np.ndarray, prints: np.ndarray, side: np.ndarray | None = None, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (a, b) of the fingerprints of equal keys within ``radius`` of each other; exact.
 
-    Sorted by population count, two tiles can only hold a link if their counts
-    come within the radius of each other.
+    Rows are sorted by key, side and population count.  A pair of tiles is skipped
+    where it shares no key, where both are of one side that isn't compared with
+    itself, or where all population counts differ beyond the radius.
     """
-    count = np.bitwise_count(prints).astype(np.int64)
-    order = np.argsort(count, kind="stable")
-    p, c = prints[order], count[order]
-    root = np.arange(len(p))
+    side = np.full(len(key), ALONE, np.int8) if side is None else side.astype(np.int8)
+    count = np.bitwise_count(prints).astype(np.int16)
+    order = np.lexsort((count, side, key))
+    k, s, p, c = key[order], side[order], prints[order], count[order]
+    held_a, held_b, held = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], 0
     for i in range(0, len(p), tile):
-        left, top = p[i : i + tile], c[min(i + tile, len(p)) - 1]
+        x = slice(i, min(i + tile, len(p)))
+        last = x.stop - 1
         for j in range(i, len(p), tile):
-            if c[j] - top > radius:
+            if k[j] != k[last] and j > i:
                 break
-            near = np.bitwise_count(left[:, None] ^ p[None, j : j + tile]) <= radius
+            y = slice(j, min(j + tile, len(p)))
+            end = y.stop - 1
+            if k[i] == k[end] and s[i] == s[last] and s[j] == s[end]:  # one key, one side each
+                if s[i] == s[j] != ALONE or c[j] - c[last] > radius or c[i] - c[end] > radius:
+                    continue
+            near = np.bitwise_count(p[x, None] ^ p[None, y]) <= radius
+            near &= k[x, None] == k[None, y]
+            near &= (s[x, None] != s[None, y]) | (s[x, None] == ALONE)
             a, b = np.nonzero(np.triu(near, 1) if i == j else near)
-            _roots(len(p), a + i, b + j, root)
-    out = np.empty_like(root)
-    out[order] = order[root]
-    return out
-
-
-def _forest(key: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest within each run of equal keys. Short runs go together, a shift at a time."""
-    edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[edges, len(key)])
-    a_out, b_out = [], []
-    short = sizes <= 32
-    at = np.concatenate([np.arange(s, s + n) for s, n in zip(edges[short], sizes[short])]) if short.any() else np.empty(0, np.int64)
-    left = np.repeat(edges[short] + sizes[short], sizes[short]) - at if len(at) else at  # places to the run's end
-    for shift in range(1, 32):
-        at, left = at[left > shift], left[left > shift]
-        if not len(at):
-            break
-        near = np.bitwise_count(prints[at] ^ prints[at + shift]) <= radius
-        a_out.append(prints[at[near]])
-        b_out.append(prints[at[near] + shift])
-    for s, n in zip(edges[~short], sizes[~short]):
-        own = prints[s : s + n]
-        root = link_tiles(own, radius)
-        far = np.flatnonzero(root != np.arange(n))
-        a_out.append(own[root[far]])
-        b_out.append(own[far])
-    empty = np.empty(0, np.uint64)
-    return np.concatenate(a_out or [empty]), np.concatenate(b_out or [empty])
+            held_a.append(p[i + a])
+            held_b.append(p[j + b])
+            held += len(a)
+            if held > _LINKS:
+                made = spanning(np.concatenate(held_a), np.concatenate(held_b))
+                held_a, held_b, held = [made[0]], [made[1]], len(made[0])
+    return spanning(np.concatenate(held_a), np.concatenate(held_b))
 
 
 def _choices(radius: int, blocks: int) -> list[int]:
@@ -158,40 +158,56 @@ def link_prints(distinct: DataFrame, column: str, rows: int, radius: int = RADIU
         "p", F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col("p").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("v")) for k, m in enumerate(_choices(radius, blocks))])).alias("k")
     ).select("p", F.col("k.c").alias("c"), F.col("k.v").alias("v"))
     keyed = stash(keyed, "simhash-keys")
-    hot = stash(keyed.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT), "simhash-hot")
-    dealt = keyed.select("p", "c", "v", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    if not hot.isEmpty():
-        cold = keyed.join(hot.select("c", "v"), ["c", "v"], "left_anti").select("p", "c", "v", F.lit(0).alias("i"), F.lit(0).alias("j"))
-        parts = F.ceil(F.col("n") / (SPLIT // 2)).cast("int")
-        own = F.pmod(F.xxhash64("p", F.lit(7)), parts).cast("int")
-        tiles = keyed.join(hot, ["c", "v"]).select("p", "c", "v", own.alias("t"), parts.alias("k"))
-        tiles = tiles.select("p", "c", "v", "t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-        dealt = cold.union(tiles.select("p", "c", "v", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")))
+    hot = stash(keyed.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("c", "v"), "simhash-hot")
+    alone = [F.lit(x).alias(n) for n, x in (("i", 0), ("j", 0), ("side", ALONE))]
+    many = hot.count()
+    dealt = keyed.select("p", "c", "v", *alone)
+    if many:
+        cold = join_small(keyed, hot, ["c", "v"], "left_anti", many).select("p", "c", "v", *alone)
+        dealt = cold.union(_tile_pairs(join_small(keyed, hot, ["c", "v"], "left_semi", many), many, radius))
     dealt = dealt.repartition("c", "v", "i", "j").sortWithinPartitions("c", "v", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows):
-            p, change = rows
-            key = np.cumsum(change)
-            a, b = _forest(key, p, radius)
+        def flush(cut: int) -> pa.RecordBatch:
+            change = np.any([h[1:cut] != h[: cut - 1] for h in held[1:5]], axis=0) if cut > 1 else np.empty(0, bool)
+            a, b = link_tiles(np.r_[0, np.cumsum(change)], held[0][:cut].view(np.uint64), held[5][:cut], radius)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64), pa.int64()), pa.array(b.view(np.int64), pa.int64())], ["a", "b"])
 
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 5
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 6
         for batch in batches:
             held = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
-            change = np.any([h[1:] != h[:-1] for h in held[1:]], axis=0)
-            if not change.any():
+            change = np.flatnonzero(np.any([h[1:] != h[:-1] for h in held[1:5]], axis=0))
+            if not len(change):
                 continue  # one key so far; keys hold few rows by construction
-            cut = int(np.flatnonzero(change)[-1]) + 1  # the last key may go on
-            yield flush((held[0][:cut].view(np.uint64), np.r_[True, change[: cut - 1]]))
+            cut = int(change[-1]) + 1  # the last key may go on
+            yield flush(cut)
             held = [h[cut:] for h in held]
         if len(held[0]):
-            change = np.any([h[1:] != h[:-1] for h in held[1:]], axis=0) if len(held[0]) > 1 else np.empty(0, bool)
-            yield flush((held[0].view(np.uint64), np.r_[True, change]))
+            yield flush(len(held[0]))
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def _tile_pairs(keyed: DataFrame, many: int, radius: int) -> DataFrame:
+    """(p, c, v, i, j, side) of ``many`` hot blocks: each fingerprint once for every pair of tiles that it has to be compared in.
+
+    A tile holds fingerprints of one population count and, where that count has
+    many, of one part by hash; its number is the count times 2^16 plus the part.
+    """
+    rows = keyed.withColumn("w", F.bit_count("p").cast("int"))
+    counts = stash(rows.groupBy("c", "v", "w").agg(F.ceil(F.count(F.lit(1)) / (SPLIT // 2)).cast("int").alias("k")), "simhash-tiles")
+    # at most 65 counts a block
+    spread = counts.groupBy("c", "v").agg(F.map_from_entries(F.collect_list(F.struct("w", "k"))).alias("parts"))
+    rows = join_small(rows, spread, ["c", "v"], "inner", many)
+    part = lambda w: F.coalesce(F.try_element_at("parts", w), F.lit(0))
+    own = F.col("w") * 65536 + F.pmod(F.xxhash64("p", F.lit(7)), part(F.col("w"))).cast("int")
+    near = F.filter(F.sequence(F.col("w") - radius, F.col("w") + radius), lambda w: part(w) > 0)
+    others = F.flatten(F.transform(near, lambda w: F.transform(F.sequence(F.lit(0), part(w) - 1), lambda x: w * 65536 + x)))
+    out = rows.select("p", "c", "v", own.alias("t"), F.explode(others).alias("o"))
+    side = F.when(F.col("t") == F.col("o"), F.lit(ALONE)).when(F.col("t") < F.col("o"), F.lit(0)).otherwise(F.lit(1))
+    return out.select("p", "c", "v", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), side.alias("side"))
+
+
 def hex16(column: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
@@ -199,9 +215,16 @@ def hex16(column: str | Column) -> Column:
 def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """(ident, fingerprint, component_id) per row of ``df``."""
     prints = stash(with_fingerprint(df, text, "p", ident), "simhash")
-    distinct = stash(prints.groupBy("p").agg(F.min(ident).alias("least")), "simhash-distinct")
-    roots = connected(stash(link_prints(distinct, "p", distinct.count(), radius), "simhash-links"))
-    rooted = distinct.join(roots.withColumnRenamed("node", "p"), "p", "left").withColumn("root", F.coalesce("root", "p"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = stash(rooted.join(named, "root").select("p", "component_id"), "simhash-named")
-    return prints.join(by_print, "p", "left").select(ident, hex16("p").alias("fingerprint"), "component_id")
+    distinct = stash(prints.groupBy("p").agg(F.min(ident).alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    linked = connected(stash(link_prints(distinct, "p", distinct.count(), radius), "simhash-links"))
+    # a fingerprint without links names its own group; of the linked ones, a group of any size is named by an aggregate
+    linked = stash(linked.withColumnRenamed("node", "p").join(distinct.select("p", "least"), "p"), "simhash-linked")
+    named = stash(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
+    by_root = join_salted(linked.select("p", "root"), named, "root", named.count(), F.col("p")).select("p", F.col("component_id").alias("of"))
+    by_print = stash(distinct.join(by_root, "p", "left").select("p", F.when(F.col("of").isNull() & F.col("least").isNotNull(), F.col("least")).otherwise(F.col("of")).alias("component_id"), "n"), "simhash-groups")
+    # fingerprints of very many documents (at most one for every HOT_DOCUMENTS rows) are looked up in place, the others by a shuffle
+    hot = by_print.where(F.col("n") >= HOT_DOCUMENTS).select("p", "component_id")
+    out = [prints.join(by_print.select("p", "component_id"), "p", "left")]
+    if many := hot.count():
+        out = [prints.join(F.broadcast(hot), "p"), prints.join(F.broadcast(hot.select("p")), "p", "left_anti").join(by_print.select("p", "component_id"), "p", "left")] if many <= BROADCAST_ROWS else out
+    return reduce(DataFrame.unionByName, [x.select(ident, hex16("p").alias("fingerprint"), "component_id") for x in out])

@@ -31,7 +31,7 @@ def test_stages_on_driver_data(spark):
         if name == "language":
             refs = langid.references(docs)
             found = langid.Parser(refs).predict([r["text"] for r in kept.values()])
-            want = [i for (i, r), lang, bits, n in zip(kept.items(), found[0], found[2], found[3]) if lang != "und" and not (bits > corpus_pipeline.MOST_BITS and n >= corpus_pipeline.ENOUGH_LETTERS)]
+            want = [i for (i, r), lang, bits, n in zip(kept.items(), found[0], found[2], found[3]) if lang != "und" and not bits * n > corpus_pipeline.MOST_BITS * n + corpus_pipeline.SLACK_BITS]
         elif name == "toxicity":
             scorer = toxicity.Scorer(*toxicity.learn(docs, table(spark, DATA, "labels")))
             want = [i for i, r in kept.items() if scorer.score(r["text"]) < 0.5]

@@ -46,12 +46,53 @@ def noisy(dice, centres, n):
     return out
 
 
-def test_tiles_equal_all_pairs():
+def groups_of(prints, links):
+    """The place of the first of each one's group, from links between values."""
+    place, parent = {p: k for k, p in enumerate(prints)}, list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(place[int(a)]), find(place[int(b)])
+        parent[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(prints))]
+
+
+@pytest.mark.parametrize("tile", [1, 7, 64, 1000])
+def test_tiles_equal_all_pairs(tile, monkeypatch):
+    """One key, many keys in a tile, and pairs of sides; forests have no link too many."""
+    monkeypatch.setattr(simhash, "_LINKS", 50)
     dice = random.Random(1)
-    prints = list(dict.fromkeys(noisy(dice, [dice.getrandbits(64) for _ in range(12)], 400)))
-    root = simhash.link_tiles(np.array(prints, np.uint64), tile=16)
+    prints = list(dict.fromkeys(noisy(dice, [dice.getrandbits(64) for _ in range(12)], 300)))
+    array = np.array(prints, np.uint64)
+    a, b = simhash.link_tiles(np.zeros(len(prints), np.int64), array, tile=tile)
     want = naive_groups(prints)
-    assert len(set(zip(root.tolist(), want))) == len(set(want)) == len(set(root.tolist()))
+    assert groups_of(prints, zip(a, b)) == want and len(a) == len(prints) - len(set(want))
+    key = np.array([dice.randrange(40) for _ in prints])
+    near = [(x, y) for x in range(len(prints)) for y in range(x) if key[x] == key[y] and (prints[x] ^ prints[y]).bit_count() <= 3]
+    got = simhash.link_tiles(key, array, tile=tile)
+    assert groups_of(prints, zip(*got)) == groups_of(prints, [(prints[x], prints[y]) for x, y in near])
+    side = np.array([dice.randrange(2) for _ in prints])
+    across = [(prints[x], prints[y]) for x, y in near if side[x] != side[y]]
+    assert groups_of(prints, zip(*simhash.link_tiles(key, array, side, tile=tile))) == groups_of(prints, across)
+
+
+def test_tile_pairs_meet_once_within_the_radius(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT", 16)
+    dice = random.Random(6)
+    prints = list(dict.fromkeys(dice.getrandbits(12) for _ in range(300)))
+    df = spark.createDataFrame([(p, 0, 0) for p in prints], "p long, c int, v long")
+    met = {}
+    for r in simhash._tile_pairs(df, 1, 3).collect():
+        met.setdefault((r["i"], r["j"]), {}).setdefault(r["side"], []).append(r["p"])
+    pairs = [(a, b) for sides in met.values() for a in sides.get(0, []) for b in sides.get(1, [])] + [(a, b) for sides in met.values() for a in sides.get(2, []) for b in sides.get(2, []) if a < b]
+    pairs = [tuple(sorted(x)) for x in pairs]
+    assert len(pairs) == len(set(pairs)) and all(abs(a.bit_count() - b.bit_count()) <= 3 for a, b in pairs)
+    assert {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3} <= set(pairs)
+    assert max(len(x) for sides in met.values() for x in sides.values()) <= 24
 
 
 @pytest.mark.parametrize("split", [4096, 8])
@@ -63,21 +104,15 @@ def test_links_connect_exactly(spark, monkeypatch, split, rows):
     prints = list(dict.fromkeys([0, *noisy(dice, [dice.getrandbits(64) for _ in range(6)], 200)]))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     df = spark.createDataFrame([(p,) for p in signed], "p long")
-    place = {p: k for k, p in enumerate(signed)}
-    parent = list(range(len(prints)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for r in simhash.link_prints(df, "p", rows).collect():
-        a, b = find(place[r["a"]]), find(place[r["b"]])
-        parent[max(a, b)] = min(a, b)
-    assert [find(k) for k in range(len(prints))] == naive_groups(prints)
+    links = [(r["a"], r["b"]) for r in simhash.link_prints(df, "p", rows).collect()]
+    assert groups_of(signed, links) == naive_groups(prints)
 
 
-def test_documents(spark):
+@pytest.mark.parametrize("limit, hot", [(500_000, 100_000), (0, 100_000), (500_000, 4)])
+def test_documents(spark, monkeypatch, limit, hot):
+    """Also with joins beyond the broadcast's limit, and with fingerprints of many documents."""
+    monkeypatch.setattr(simhash, "HOT_DOCUMENTS", hot)
+    monkeypatch.setattr(simhash.join_salted, "__defaults__", (16, limit))
     dice = random.Random(3)
     words = ["".join(dice.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
     base = [" ".join(dice.choice(words) for _ in range(120)) for _ in range(15)]
