@@ -16,9 +16,9 @@ from fluxmill.llm.common import fresh, join_small, stash, table
 from fluxmill.llm.queries import vocabulary_path
 
 #: Bits a letter above which a text is in none of the learned languages (their own texts stay below 7, random letters
-#: take over 10), and the letters from which that can be told.
+#: take over 10), and bits that any text may cost besides: a phrase or two, which weigh in short ones.
 MOST_BITS = 8.5
-ENOUGH_LETTERS = 40
+SLACK_BITS = 32.0
 TOXIC = 0.5
 
 
@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     name, score, bits, letters = fresh(docs, "lang_pred", "lang_score", "lang_bits", "lang_letters")
     found = langid.identify(docs, langid.references(docs), keep=columns, outputs=(name, score, bits, letters))
-    foreign = (F.col(bits) > MOST_BITS) & (F.col(letters) >= ENOUGH_LETTERS)
+    foreign = F.col(bits) * F.col(letters) > MOST_BITS * F.col(letters) + SLACK_BITS
     return found.where((F.col(name) != langid.UND) & ~foreign).select(*columns)
 
 
