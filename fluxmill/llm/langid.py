@@ -73,7 +73,9 @@ def letters(text: str) -> np.ndarray:
     keep = ~space
     keep[1:] |= ~space[:-1]
     out = out[keep]
-    return out[:-1] if len(out) and out[-1] == 32 else out
+    if not ((out > 96) & (out < 123)).any() and not any(unicodedata.category(chr(c))[0] == "L" for c in np.unique(out)):
+        return out[:0]  # marks alone are no letters
+    return out[:-1] if out[-1] == 32 else out
 
 
 def suffix_automaton(text: Sequence[int]) -> list[dict[int, int]]:

@@ -73,4 +73,31 @@ def quality(share: float = SHARE, steps: int = MOST_STEPS, quantile: float = QUA
         FROM v LEFT JOIN best USING (g)"""
 
 
-ORACLE: dict[str, str] = {"op6_warc": WARC, "op8_quality": quality()}
+#: CRC-32 of a number's digits, bit by bit: each byte is followed by eight shifts.
+_HELD_OUT = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(CAST(doc_id AS VARCHAR), '')])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 5 = 0"""
+
+LANGUAGE = f"SELECT doc_id, {_HELD_OUT} AS held_out, coalesce(regexp_matches(text, '\\p{{L}}'), false) AS lettered, true AS scored FROM documents"
+
+TOXICITY = f"SELECT doc_id, {_HELD_OUT} AS held_out, true AS agrees FROM documents"
+
+MEDIA = r"""
+    WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents),
+    p AS (SELECT doc_id, body, octet_length(body) AS n, CASE WHEN octet_length(body) = 0 THEN 64 ELSE CAST((64 - octet_length(body) % 64) % 64 AS BIGINT) END AS more FROM t)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n + more AS BIGINT) AS payload_bytes, sha256(body || repeat('\x00'::BLOB, more)) AS payload_sha256 FROM p
+"""
+
+#: Sources are filled in the order of their limits by weight; the level is the first that the next limit isn't below.
+TARGETS = r"""
+    WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    w AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)]::DOUBLE AS weight, 2.0 * source_size AS most, 1.5 * sum(source_size) OVER () AS budget FROM s),
+    f AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+        sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS place FROM w),
+    l AS (SELECT arg_min((budget - full_before) / open, place) FILTER (WHERE (budget - full_before) / open * weight <= most) AS level FROM f)
+    SELECT doc_id, size, source_size, least(coalesce(level, 1e300) * weight, most)::DOUBLE AS target
+    FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source CROSS JOIN l
+"""
+
+
+ORACLE: dict[str, str] = {"language_folds": LANGUAGE, "mixing_targets": TARGETS, "toxicity_folds": TOXICITY, "media_payloads": MEDIA, "op6_warc": WARC, "op8_quality": quality()}

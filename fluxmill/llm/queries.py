@@ -66,4 +66,26 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), digests=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_langid, op2_lm, op3_mixing, op4_simhash, op5_html, op6_warc, op7_toxicity, op8_quality, op9_bpe, op10_media)}
+# The columns of four operators that their contracts determine exactly, for the comparison with SQL.
+
+
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op1_langid(spark, sf_dir)
+    return out.select("doc_id", "held_out", (out["lang_pred"] != langid.UND).alias("lettered"), out["score"].between(0, 1).alias("scored"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+def toxicity_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op7_toxicity(spark, sf_dir)
+    return out.select("doc_id", "held_out", ((out["predicted"] == 1) == (out["score"] >= 0.5)).alias("agrees"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+_ALL = (op1_langid, op2_lm, op3_mixing, op4_simhash, op5_html, op6_warc, op7_toxicity, op8_quality, op9_bpe, op10_media, language_folds, mixing_targets, toxicity_folds, media_payloads)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}

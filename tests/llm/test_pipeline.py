@@ -101,7 +101,8 @@ def test_query_equals_sql(spark, name):
     want = con.execute(queries.ORACLE[name])
     names = [d[0] for d in want.description]
     assert sorted(df.columns) == sorted(names)
-    assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, want.fetchall()))
+    key = lambda r: tuple(f"{x:.12g}" if isinstance(x, float) else str(x) for x in r)
+    assert sorted(map(key, df.select(*names).collect())) == sorted(map(key, want.fetchall()))
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
