@@ -1,4 +1,4 @@
-"""Command line: ``python -m fluxmill validate|setup|run|sql|report --root DIR [--target dev] [name=value ...]``."""
+"""Command line: ``python -m fluxmill validate|setup|run|schedule|last-error|sql|report --root DIR [--target dev] [name=value ...]``."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ from fluxmill.plans.statements import render, split_statements
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="fluxmill", description=__doc__)
-    parser.add_argument("action", choices=["validate", "setup", "run", "sql", "report"])
+    parser.add_argument("action", choices=["validate", "setup", "run", "schedule", "last-error", "sql", "report"])
     parser.add_argument("--root", required=True, help="folder that driver and executors share")
     parser.add_argument("--target", default="dev", choices=sorted(TARGETS))
     parser.add_argument("--migrate-through", default=EVERYTHING)
+    parser.add_argument("--max-files", type=int, help="landing files of a micro-batch")
+    parser.add_argument("--max-bytes", type=int, help="bytes of landing files of a micro-batch")
     parser.add_argument("--sql", help="a statement, or the name of a verification query")
     parser.add_argument("params", nargs="*", help="name=value, overriding the target's values")
     args = parser.parse_args(argv)
@@ -36,9 +38,23 @@ def main(argv: list[str] | None = None) -> int:
     if args.action == "report":
         print(verify.report(spark, env))
         return 0
-    outcomes = jobs.setup_job(spark, env, args.migrate_through) if args.action == "setup" else jobs.medallion_job(spark, env, args.migrate_through)
-    for o in outcomes:
-        print(f"{o.task:10} {o.state:8} {o.seconds:6.1f} s  {o.result if o.state == 'done' else o.cause}")
+    if args.action == "last-error":
+        found = jobs.last_error(spark, env)
+        print("no failed run is stored" if found is None else "\n".join(f"{k}: {v}" for k, v in found.items()))
+        return 0
+
+    def medallion() -> list[jobs.Outcome]:
+        return show(jobs.medallion_job(spark, env, args.migrate_through, args.max_files, args.max_bytes))
+
+    def show(outcomes: list[jobs.Outcome]) -> list[jobs.Outcome]:
+        for o in outcomes:
+            print(f"{o.task:10} {o.state:8} {o.seconds:6.1f} s  {o.result if o.state == 'done' else o.cause}", flush=True)
+        return outcomes
+
+    if args.action == "schedule":
+        jobs.run_scheduled(env, medallion)
+        return 0
+    outcomes = show(jobs.setup_job(spark, env, args.migrate_through)) if args.action == "setup" else medallion()
     return int(jobs.last_failure(outcomes) is not None)
 
 

@@ -51,8 +51,8 @@ activity AS (
     time_bucket(INTERVAL '5 minutes', event_ts) + INTERVAL '5 minutes' AS window_end,
     count(*) AS ping_count, count(DISTINCT s.truck_id) AS truck_count
   FROM silver s LEFT JOIN dim USING (truck_id) GROUP BY ALL),
-target AS (SELECT truck_id, capacity_lbs, region FROM dim WHERE k % 2 = 0),
-source AS (SELECT truck_id, CAST(capacity_lbs + 1 AS INT) AS capacity_lbs, upper(region) AS region FROM dim WHERE k % 3 = 0)
+target AS (SELECT truck_id, capacity_lbs, region FROM dim WHERE k % 3 <> 0),
+source AS (SELECT truck_id, CAST(capacity_lbs + 1 AS INT) AS capacity_lbs, upper(region) AS region FROM dim WHERE k % 3 <> 1)
 """
 
 _POSITIONS = "truck_id, last_event_ts, latitude, longitude, make, model, capacity_lbs, home_depot, region, driver"
@@ -127,7 +127,23 @@ _SELECTS = {
           CASE WHEN n_nationkey BETWEEN 3 AND 7 THEN n_nationkey * 10 ELSE n_nationkey END >= 40 AS big
         FROM nation WHERE n_name <> 'CHINA'""",
     "watermarked_activity": "SELECT time_bucket(INTERVAL '5 minutes', event_ts) AS window_start, count(*) AS ping_count FROM silver GROUP BY 1",
-    "observed_schema": "SELECT * FROM (VALUES ('speed'), ('heading')) v(field)",
+    "observed_schema": "SELECT * FROM (VALUES ('speed', 'BIGINT'), ('heading', 'BIGINT')) v(field, type)",
+    "late_behind_watermark": "SELECT time_bucket(INTERVAL '5 minutes', event_ts) AS window_start, count(*) AS ping_count FROM silver WHERE event_ts >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY 1",
+    "approx_trucks": "SELECT coalesce(region, 'UNKNOWN') AS region, count(DISTINCT s.truck_id) AS exact, true AS near FROM silver s LEFT JOIN dim USING (truck_id) GROUP BY 1",
+    "file_lineage": "SELECT count(*) AS n, CAST(4 AS BIGINT) AS files, CAST(0 AS BIGINT) AS unequal FROM raw",
+    "ingest_timestamp": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS outside, CAST(2 AS BIGINT) AS batches FROM raw",
+    "in_memory_rows": "SELECT * FROM (VALUES ('Chicago', 'Midwest'), ('Dallas', 'South'), ('Denver', 'West'), ('Atlanta', 'Southeast')) v(depot, region)",
+    "synthetic_pings": "SELECT CAST(i AS INT) AS file, true AS sized, CAST(1 AS BIGINT) AS doubled, CAST(1 AS BIGINT) AS without_latitude FROM range(5) r(i)",
+    "seeded_dimension": "SELECT concat('TRK-', lpad(CAST(i AS VARCHAR), 3, '0')) AS truck_id, true AS known FROM range(1, 21) r(i)",
+    "empty_batches": "SELECT t AS tbl, CAST(CASE WHEN t = 'truck_details' THEN (SELECT count(*) FROM dim) ELSE 0 END AS BIGINT) AS n FROM (VALUES ('bronze_pings_raw'), ('silver_pings'), ('silver_pings_quarantine'), ('truck_details'), ('gold_truck_current_position'), ('gold_region_activity_5m')) v(t)",
+    "replayed_batches": "SELECT tbl, n, 3 AS failures FROM (" + _COUNTS.format(rejects="rejects") + " UNION ALL SELECT 'truck_details', count(*) FROM dim)",
+    "migration_rerun": "SELECT v AS version, 'applied' AS first, 'applied' AS second, 'already applied' AS third, 14 AS columns FROM (VALUES ('001'), ('002'), ('003')) t(v)",
+    "job_graph": """
+        SELECT * FROM (VALUES ('setup', 0, 'migrate', 'done', true), ('setup', 1, 'seed', 'done', true), ('setup', 2, 'generate', 'done', true),
+          ('medallion', 0, 'migrate', 'done', true), ('medallion', 1, 'bronze', 'done', true), ('medallion', 2, 'silver', 'done', true),
+          ('medallion', 3, 'gold', 'done', true), ('medallion', 4, 'verify', 'done', true), ('medallion', 5, 'maintain', 'done', true),
+          ('failing', 0, 'a', 'done', true), ('failing', 1, 'd', 'done', true), ('failing', 2, 'b', 'failed', true), ('failing', 3, 'c', 'skipped', true)
+        ) v(job, place, task, state, stored)""",
 }
 
 ORACLE: dict[str, str] = {name: _BASE + sql for name, sql in _SELECTS.items()}

@@ -12,14 +12,15 @@ from fluxmill.config import Env, Geofence
 from fluxmill.functions.scalars import capacity_tons, in_geofence, tumbling
 from fluxmill.operators import dedup, gold, merge, silver
 from fluxmill.plans import verify
+from fluxmill.plans.jobs import Task, medallion_job, run_job, runs, setup_job
 from fluxmill.plans.migrate import Runner
 from fluxmill.plans.statements import Executor, columns_view, split_statements
 from fluxmill.schemas import ACTIVITY, POSITION, SILVER
 from fluxmill.sources import landing
-from fluxmill.sources.pings import derived_raw, derived_trucks
+from fluxmill.sources.pings import DEPOTS, DRIVERS, MODELS, POUNDS, derived_raw, derived_trucks, generate, seeded_trucks
 from fluxmill.streaming.files import Files, scratch
 from fluxmill.streaming.medallion import Medallion
-from fluxmill.streaming.runner import run_available_now
+from fluxmill.streaming.runner import StreamFailed, run_available_now
 from fluxmill.streaming.storage import AppendTable, SnapshotTable
 
 FENCE = Geofence()
@@ -82,11 +83,11 @@ def region_activity_recompute(spark, sf_dir):
     """Silver grows in three parts; after each, only the windows it touched are recomputed."""
     root = scratch(spark, "recompute")
     rows = clean(spark, sf_dir)
-    table = AppendTable.create(spark, f"{root}/silver", SILVER.schema, SILVER.keys)
-    out = SnapshotTable.create(spark, f"{root}/activity", ACTIVITY.schema, ACTIVITY.keys)
+    table = AppendTable.create(spark, f"{root}/silver", SILVER.schema, SILVER.keys, cluster=SILVER.cluster)
+    out = SnapshotTable.create(spark, f"{root}/activity", ACTIVITY.schema, ACTIVITY.keys, cluster=ACTIVITY.cluster)
     part = F.pmod(F.xxhash64("ping_id"), F.lit(3))
     for k in range(3):
-        table.append(rows.where(part == k), f"part-{k}")
+        table.append(rows.where(part == k), ("part", k))
         batch = table.read().where(part == k)
         out.merge_upsert(gold.recompute_touched(batch, table.read(), trucks(spark, sf_dir)))
     return naive(out.read().select(*WINDOWS))
@@ -99,8 +100,9 @@ def capacity(spark, sf_dir):
 def _merge_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     number = F.substring("truck_id", 5, 6).cast("int")
     t = trucks(spark, sf_dir).select("truck_id", "capacity_lbs", "region", number.alias("k"))
-    target = t.where("k % 2 = 0").select("truck_id", "capacity_lbs", "region")
-    source = t.where("k % 3 = 0").select("truck_id", (F.col("capacity_lbs") + 1).alias("capacity_lbs"), F.upper("region").alias("region"))
+    # a third of the trucks on either side alone, a third on both
+    target = t.where("k % 3 <> 0").select("truck_id", "capacity_lbs", "region")
+    source = t.where("k % 3 <> 1").select("truck_id", (F.col("capacity_lbs") + 1).alias("capacity_lbs"), F.upper("region").alias("region"))
     return target, source
 
 
@@ -180,7 +182,7 @@ def activity_top20(spark, sf_dir):
 
 def _positions(spark, sf_dir, label: str) -> SnapshotTable:
     """Positions as the first migration knows them, in a table of their own."""
-    table = SnapshotTable.create(spark, f"{scratch(spark, label)}/position", POSITION.schema, POSITION.keys)
+    table = SnapshotTable.create(spark, f"{scratch(spark, label)}/position", POSITION.schema, POSITION.keys, cluster=POSITION.cluster)
     table.merge_upsert(gold.current_position(clean(spark, sf_dir), trucks(spark, sf_dir), FENCE))
     return table
 
@@ -231,8 +233,7 @@ def _environment(spark, sf_dir, label: str, **options) -> Medallion:
 
 
 def _streamed(spark, sf_dir, label: str, **options) -> Medallion:
-    m = _environment(spark, sf_dir, label, **options)
-    _land(spark, derived_raw(spark, sf_dir), m.env.landing_path, 4)
+    m = _landed(spark, sf_dir, label, **options)
     m.run()
     return m
 
@@ -334,10 +335,27 @@ def watermarked_activity(spark, sf_dir):
     return naive(out.read().select("window_start", "ping_count"))
 
 
+def late_behind_watermark(spark, sf_dir):
+    """Pings that arrive behind the watermark are dropped: those of the first days come after all the others, and an hour is allowed."""
+    root = scratch(spark, "behind")
+    rows = clean(spark, sf_dir).select("event_ts", "truck_id")
+    late = F.col("event_ts") < F.lit("2024-01-10 00:00:00").cast("timestamp")
+    even = F.minute("event_ts") % 2 == 0
+    for part in (~late & even, ~late & ~even, late):  # a batch drops what is behind the watermark that the one before it began with
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    schema = T.StructType([T.StructField("window_start", T.TimestampType(), False), T.StructField("ping_count", T.LongType())])
+    out = SnapshotTable.create(spark, f"{root}/out", schema, ["window_start"], cluster=["window_start"])
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in").withWatermark("event_ts", "1 hour")
+    counted = stream.groupBy(tumbling().alias("w")).agg(F.count(F.lit(1)).alias("ping_count")).select(F.col("w.start").alias("window_start"), "ping_count")
+    writer = counted.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(lambda batch, _: out.merge_upsert(batch))
+    run_available_now(writer, "late_behind_watermark")
+    return naive(out.read())
+
+
 def approx_trucks(spark, sf_dir):
-    """Distinct trucks by region, estimated; the exact count stands beside it."""
+    """Distinct trucks by region, exactly, and whether the estimate comes within a tenth (or one truck)."""
     placed = gold.enrich(clean(spark, sf_dir).select("truck_id"), trucks(spark, sf_dir), ["truck_id", "region"])
-    return placed.groupBy(F.coalesce("region", F.lit("UNKNOWN")).alias("region")).agg(F.approx_count_distinct("truck_id", 0.02).alias("estimate"), F.countDistinct("truck_id").alias("exact"))
+    return placed.groupBy(F.coalesce("region", F.lit("UNKNOWN")).alias("region")).agg(F.approx_count_distinct("truck_id", 0.02).alias("e"), F.countDistinct("truck_id").alias("exact")).select("region", "exact", (F.abs(F.col("e") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.1 * F.col("exact"))).alias("near"))
 
 
 def observed_schema(spark, sf_dir):
@@ -350,7 +368,111 @@ def observed_schema(spark, sf_dir):
         m.run_bronze()
     log = landing.SchemaLog(spark, env.checkpoint_path("bronze_pings_raw_schema"))
     assert Files(spark, env.home).exists(env.landing_path)
-    return spark.createDataFrame([(f,) for f in log.fields()], "field STRING")
+    return spark.createDataFrame(list(log.types().items()), "field STRING, type STRING")
+
+
+def _landed(spark, sf_dir, label: str, **options) -> Medallion:
+    """The raw pings in four landing files, and their environment."""
+    m = _environment(spark, sf_dir, label, **options)
+    _land(spark, derived_raw(spark, sf_dir), m.env.landing_path, 4)
+    return m
+
+
+def file_lineage(spark, sf_dir):
+    """Every raw row names its landing file, and each file has as many rows as lines."""
+    m = _landed(spark, sf_dir, "lineage")
+    m.run_bronze()
+    lines = spark.read.text(m.env.landing_path).groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("lines"))
+    rows = m.bronze().groupBy(F.col("_source_file").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    name = lambda df: df.withColumn("file", F.element_at(F.split("file", "/"), -1))
+    both = name(rows).join(name(lines), "file", "full")
+    return both.agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("files"), F.count(F.when(~F.col("rows").eqNullSafe(F.col("lines")), 1)).alias("unequal"))
+
+
+def ingest_timestamp(spark, sf_dir):
+    """Every raw row has the time of its micro-batch, within the run."""
+    m = _landed(spark, sf_dir, "ingest", max_files=2)
+    now = lambda: spark.range(1).select(F.current_timestamp()).first()[0]
+    began = now()
+    m.run_bronze()
+    at = F.col("_ingested_at")
+    inside = at.between(F.lit(began), F.lit(now()))
+    return m.bronze().agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.coalesce(inside, F.lit(False)), 1)).alias("outside"), F.countDistinct(at).alias("batches"))
+
+
+def in_memory_rows(spark, sf_dir):
+    """Rows that the program holds, as a table."""
+    return spark.createDataFrame(DEPOTS, "depot STRING, region STRING")
+
+
+def synthetic_pings(spark, sf_dir):
+    """What each generated landing file holds: 7 to 17 lines, the first ping twice, one without a latitude."""
+    folder = scratch(spark, "synthetic")
+    generate(spark, folder, 5)
+    rows = landing.parse(spark.read.text(folder).select("value", F.input_file_name().alias("f")))
+    same = rows.groupBy("f", *[c for c in ("truck_id", "latitude", "longitude", "event_ts")]).agg(F.count(F.lit(1)).alias("n"))
+    per = same.groupBy("f").agg(F.sum("n").alias("lines"), F.count(F.when(F.col("n") > 1, 1)).alias("doubled"), F.sum(F.when(F.col("latitude").isNull(), F.col("n")).otherwise(0)).alias("without_latitude"))
+    number = F.regexp_extract("f", r"_(\d{4})\.json", 1).cast("int")
+    return per.select(number.alias("file"), F.col("lines").between(7, 17).alias("sized"), "doubled", "without_latitude")
+
+
+def seeded_dimension(spark, sf_dir):
+    """The fleet: the same trucks whenever it is made, with values of the fleet's."""
+    rows, again = (seeded_trucks(spark).drop("_updated_at") for _ in range(2))
+    makes, depots = [f"{a} {b}" for a, b in MODELS], [f"{a} {b}" for a, b in DEPOTS]
+    known = F.concat_ws(" ", "make", "model").isin(makes) & F.concat_ws(" ", "home_depot", "region").isin(depots) & F.col("capacity_lbs").isin(POUNDS) & F.col("driver").isin(DRIVERS)
+    return rows.intersectAll(again).select("truck_id", known.alias("known"))
+
+
+def empty_batches(spark, sf_dir):
+    """The three streams over an empty landing zone leave empty tables beside the dimension."""
+    m = _environment(spark, sf_dir, "empty")
+    m.run()
+    return verify.query(spark, m.env, "medallion_counts")
+
+
+def replayed_batches(spark, sf_dir):
+    """Each stream fails once between its writes, then all run again with new checkpoints behind the raw table: nothing is doubled."""
+    failed: set[str] = set()
+
+    def fault(place: str, batch: int) -> None:
+        if place not in failed:
+            failed.add(place)
+            raise RuntimeError(f"stopped after {place}")
+
+    m = _landed(spark, sf_dir, "replay", fault=fault)
+    for _ in range(3):
+        try:
+            m.run()
+        except StreamFailed:
+            continue
+    for stream in (SILVER.name, "gold_build"):
+        Files(spark, m.env.home).delete(m.env.checkpoint_path(stream))
+    m.run()
+    return verify.query(spark, m.env, "medallion_counts").withColumn("failures", F.lit(len(failed)))
+
+
+def migration_rerun(spark, sf_dir):
+    """After the ledger is lost, tables and columns that are there don't stop the migrations."""
+    env = Env(scratch(spark, "rerun"))
+    first = Runner(spark, env).run()
+    Runner(spark, env).ledger.delete(F.lit(True))
+    second, third = Runner(spark, env).run(), Runner(spark, env).run()
+    columns = columns_view(spark, env).where("table_name = 'gold_truck_current_position'").count()
+    return spark.createDataFrame([(a[0], a[2], b[2], c[2], columns) for a, b, c in zip(first, second, third)], "version STRING, first STRING, second STRING, third STRING, columns INT")
+
+
+def job_graph(spark, sf_dir):
+    """The jobs' tasks in their order and how they end, with a graph in which one fails."""
+    env = Env(scratch(spark, "jobs"), batches=2)
+
+    def fail() -> None:
+        raise ValueError("made to fail")
+
+    ran = {"setup": setup_job(spark, env), "medallion": medallion_job(spark, env), "failing": run_job(spark, env, "failing", [Task("c", list, ("b",)), Task("d", list, ("a",)), Task("a", list), Task("b", fail, ("a",))])}
+    stored = {r["job"]: [o.state for o in r["outcomes"]] for r in runs(spark, env)}
+    rows = [(job, k, o.task, o.state, stored[job][k] == o.state) for job, outcomes in ran.items() for k, o in enumerate(outcomes)]
+    return spark.createDataFrame(rows, "job STRING, place INT, task STRING, state STRING, stored BOOLEAN")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -361,6 +483,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         merge_tolerant_columns, dedup_ordered, dedup_any, bronze_report, medallion_counts, dedup_proof, latest_positions_top20,
         activity_top20, backfill_update, delete_by_key, drop_column, restore_version, stream_bronze_silver_gold,
         late_data_window, late_data_position, dimension_refresh, rescued_data, migration_ledger, catalog_columns,
-        sql_statements, watermarked_activity, approx_trucks, observed_schema,
+        sql_statements, watermarked_activity, late_behind_watermark, approx_trucks, observed_schema, file_lineage,
+        ingest_timestamp, in_memory_rows, synthetic_pings, seeded_dimension, empty_batches, replayed_batches,
+        migration_rerun, job_graph,
     )
 } | {"capacity_tons": capacity}

@@ -108,6 +108,10 @@ class Executor:
         name = self.name(m["name"])
         columns, tail = _body(m["rest"])
         comment = re.search(r"\bCOMMENT\s+'((?:[^']|'')*)'", tail, re.I)
+        clustered = re.search(r"\b(?:CLUSTER|PARTITIONED)\s+BY\s*\(([^)]*)\)", tail, re.I)
+        cluster = [c.strip(" `\n\t") for c in clustered[1].split(",")] if clustered else []
+        given = re.search(r"\bTBLPROPERTIES\s*\(([^)]*)\)", tail, re.I)
+        properties = dict(re.findall(r"'([^']*)'\s*=\s*'([^']*)'", given[1])) if given else {}
         spec = SPECS.get(name)
         schema = _columns(columns)
         keys = spec.keys if spec else tuple(f.name for f in schema if not f.nullable)
@@ -115,7 +119,7 @@ class Executor:
         kind = AppendTable if not keys or name in ("silver_pings", "silver_pings_quarantine") else SnapshotTable
         if not m["guard"] and kind(self.spark, self.env.table_path(name)).exists():
             raise ValueError(f"table {name} already exists")
-        kind.create(self.spark, self.env.table_path(name), schema, keys, comment=(comment[1] if comment else "").replace("''", "'"))
+        kind.create(self.spark, self.env.table_path(name), schema, keys, comment=(comment[1] if comment else "").replace("''", "'"), cluster=cluster, properties=properties)
 
     def _add(self, m: re.Match) -> None:
         text = m["rest"].strip()
@@ -173,11 +177,7 @@ def list_tables(spark: SparkSession, env: Env) -> list[str]:
 
 
 def read_table(spark: SparkSession, env: Env, name: str) -> DataFrame:
-    """A table's current rows; the raw table's come from its stream."""
-    if name == "bronze_pings_raw":
-        from fluxmill.streaming.medallion import Medallion
-
-        return Medallion(spark, env).bronze()
+    """A table's current rows."""
     return open_table(spark, env.table_path(name)).read()
 
 

@@ -22,6 +22,7 @@ class TableSpec:
     schema: T.StructType
     keys: tuple[str, ...] = ()
     sequence: str | None = None
+    cluster: tuple[str, ...] = ()
 
 
 #: The landing fields whose types are pinned; everything else is rescued.
@@ -33,6 +34,7 @@ SILVER = TableSpec(
     ddl("ping_id STRING NOT NULL, truck_id STRING, event_ts TIMESTAMP, event_date DATE, latitude DOUBLE, longitude DOUBLE, event_ts_raw STRING, _source_file STRING, _ingested_at TIMESTAMP, _processed_at TIMESTAMP"),
     ("ping_id",),
     "_ingested_at",
+    ("truck_id", "event_date"),
 )
 QUARANTINE = TableSpec("silver_pings_quarantine", ddl("reject_id STRING NOT NULL, truck_id STRING, event_ts_raw STRING, latitude DOUBLE, longitude DOUBLE, reject_reason STRING, _source_file STRING, _quarantined_at TIMESTAMP"), ("reject_id",))
 TRUCKS = TableSpec("truck_details", ddl("truck_id STRING NOT NULL, make STRING, model STRING, capacity_lbs INT, home_depot STRING, region STRING, driver STRING, _updated_at TIMESTAMP"), ("truck_id",))
@@ -41,8 +43,9 @@ POSITION = TableSpec(
     ddl("truck_id STRING NOT NULL, last_event_ts TIMESTAMP, latitude DOUBLE, longitude DOUBLE, make STRING, model STRING, capacity_lbs INT, home_depot STRING, region STRING, driver STRING, _updated_at TIMESTAMP"),
     ("truck_id",),
     "last_event_ts",
+    ("truck_id",),
 )
-ACTIVITY = TableSpec("gold_region_activity_5m", ddl("region STRING NOT NULL, window_start TIMESTAMP NOT NULL, window_end TIMESTAMP, ping_count BIGINT, truck_count BIGINT, _updated_at TIMESTAMP"), ("region", "window_start"))
+ACTIVITY = TableSpec("gold_region_activity_5m", ddl("region STRING NOT NULL, window_start TIMESTAMP NOT NULL, window_end TIMESTAMP, ping_count BIGINT, truck_count BIGINT, _updated_at TIMESTAMP"), ("region", "window_start"), None, ("region", "window_start"))
 LEDGER = TableSpec("schema_migrations", ddl("version STRING NOT NULL, filename STRING, checksum STRING, applied_at TIMESTAMP, applied_by STRING, statements INT"), ("version",))
 
 SPECS = {s.name: s for s in (BRONZE, SILVER, QUARANTINE, TRUCKS, POSITION, ACTIVITY, LEDGER)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 from collections.abc import Sequence
 from datetime import UTC, datetime, timedelta
 
@@ -85,13 +86,15 @@ def ping_lines(dice: random.Random, at: datetime) -> list[str]:
     return [json.dumps(p) for p in [*pings, pings[0], {**ping(len(pings)), "latitude": None}]]
 
 
-def generate(spark: SparkSession, folder: str, batches: int, seed: int = 7, start: datetime | None = None, step: timedelta = timedelta(seconds=30)) -> int:
-    """Write ``batches`` landing files; returns the number of lines. Files appear whole."""
+def generate(spark: SparkSession, folder: str, batches: int, seed: int = 7, start: datetime | None = None, step: timedelta = timedelta(seconds=30), sleep_seconds: float = 0.0) -> int:
+    """Write ``batches`` landing files, waiting between them if asked; returns the number of lines. Files appear whole."""
     files, dice = Files(spark, folder), random.Random(seed)
     files.mkdirs(folder)
     start = start or datetime(2024, 1, 1, tzinfo=UTC)
     total = 0
     for n in range(batches):
+        if n and sleep_seconds > 0:
+            time.sleep(sleep_seconds)
         at = start + n * step
         rows = ping_lines(dice, at)
         files.create(f"{folder}/pings_{seed:08x}_{int(at.timestamp() * 1000)}_{n:04d}.json", "\n".join(rows) + "\n")

@@ -8,10 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fluxmill.config import Env
 from fluxmill.operators import gold, silver
-from fluxmill.schemas import ACTIVITY, BRONZE, POSITION, QUARANTINE, SILVER, TRUCKS
+from fluxmill.schemas import ACTIVITY, BRONZE, POSITION, QUARANTINE, SILVER, TRUCKS, ddl
 from fluxmill.sources import landing, pings
 from fluxmill.streaming.files import Files
 from fluxmill.streaming.runner import Drained, run_available_now
@@ -21,11 +22,16 @@ log = logging.getLogger(__name__)
 
 
 class Medallion:
-    """One environment's streams and tables. ``max_files`` bounds a micro-batch; ``fault`` is called between writes, for tests."""
+    """One environment's streams and tables.
 
-    def __init__(self, spark: SparkSession, env: Env, max_files: int | None = None, newest_first: bool = False, fault: Callable[[str, int], None] | None = None, delete_stale: bool = False):
+    ``max_files`` and ``max_bytes`` bound a micro-batch of landing files, ``max_files``
+    also the commits of one between tables; ``evolve`` gives fields not seen before a
+    column of the raw table; ``fault`` is called between writes, for tests.
+    """
+
+    def __init__(self, spark: SparkSession, env: Env, max_files: int | None = None, newest_first: bool = False, fault: Callable[[str, int], None] | None = None, delete_stale: bool = False, max_bytes: int | None = None, evolve: bool = False):
         self.spark, self.env = spark, env
-        self.max_files, self.newest_first, self.delete_stale = max_files, newest_first, delete_stale
+        self.max_files, self.max_bytes, self.newest_first, self.delete_stale, self.evolve = max_files, max_bytes, newest_first, delete_stale, evolve
         self.fault = fault or (lambda place, batch: None)
 
     def append(self, spec) -> AppendTable:
@@ -34,47 +40,49 @@ class Medallion:
     def snapshot(self, spec) -> SnapshotTable:
         return SnapshotTable(self.spark, self.env.table_path(spec.name))
 
-    def _label(self, stream: str) -> Callable[[int], str]:
-        """Names for a stream's appends; a checkpoint that is made anew gets new ones."""
+    def _label(self, stream: str) -> Callable[[int], tuple[str, int]]:
+        """Labels of a stream's appends; a checkpoint that is made anew is another writer."""
         files, folder = Files(self.spark, self.env.home), self.env.checkpoint_path(stream)
         files.mkdirs(folder)
         name = f"{folder}/engine-id.txt"
         files.create(name, uuid.uuid4().hex)
         ident = files.read(name)
-        return lambda batch: f"{stream}-{ident}-{batch:010d}"
+        return lambda batch: (f"{stream}-{ident}", batch)
 
     # -- bronze ---------------------------------------------------------------
 
-    @property
-    def bronze_path(self) -> str:
-        return f"{self.env.table_path(BRONZE.name)}/stream"
-
     def bronze(self) -> DataFrame:
-        """The raw table, as a batch; its only writer is the stream, whose log names the whole files."""
-        if not Files(self.spark, self.env.home).exists(f"{self.bronze_path}/_spark_metadata"):
-            return self.spark.createDataFrame([], BRONZE.schema)
-        return self.spark.read.schema(BRONZE.schema).parquet(self.bronze_path)
+        return self.append(BRONZE).read()
 
     def run_bronze(self) -> Drained:
-        """Append every new landing file's lines, once each; then note fields not seen before."""
+        """Append every new landing file's lines, once each, and note the fields that each batch shows for the first time."""
         files = Files(self.spark, self.env.home)
         files.mkdirs(self.env.landing_path)
-        raw = landing.lines(self.spark, self.env.landing_path, self.max_files, self.newest_first)
-        checkpoint = self.env.checkpoint_path(BRONZE.name)
-        rows = landing.bronze_rows(raw).select(*BRONZE.schema.fieldNames())
-        writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-        done = run_available_now(writer, "bronze_ingest", self.bronze_path)
-        if done.rows:
-            new = self.spark.read.schema(BRONZE.schema).parquet(self.bronze_path).where(F.col(landing.RESCUED).isNotNull())
-            found = landing.observed_fields(new.select(F.col(landing.RESCUED).alias("value")))
-            landing.SchemaLog(self.spark, self.env.checkpoint_path(f"{BRONZE.name}_schema")).note([f for f in found if f != "_corrupt_record"])
-        return done
+        raw = landing.lines(self.spark, self.env.landing_path, self.max_files, self.newest_first, self.max_bytes)
+        checkpoint, label = self.env.checkpoint_path(BRONZE.name), self._label(BRONZE.name)
+        table = AppendTable.create(self.spark, self.env.table_path(BRONZE.name), BRONZE.schema)
+        seen = landing.SchemaLog(self.spark, self.env.checkpoint_path(f"{BRONZE.name}_schema"))
+
+        def write(batch: DataFrame, number: int) -> None:
+            fields = T.StructType([f for f in table.schema if not f.name.startswith("_")])
+            rows = landing.bronze_rows(batch, fields)
+            folder = table.append(rows, label(number))
+            self.fault("bronze", number)
+            added = rows if folder is None else table.folder(folder)  # only what this batch wrote is read again
+            rescued = added.where(F.col(landing.RESCUED).isNotNull()).select(landing.RESCUED)
+            new = seen.note(found := landing.observed_fields(rescued, landing.RESCUED))
+            held = {c.lower() for c in table.columns}
+            if self.evolve and (columns := [f for f in new if f.isidentifier() and not f.startswith("_") and f.lower() not in held]):
+                table.add_columns(ddl(", ".join(f"{f} {found[f]}" for f in columns)))
+
+        writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        return run_available_now(writer, "bronze_ingest")
 
     # -- silver ---------------------------------------------------------------
 
     def run_silver(self) -> Drained:
         label = self._label(SILVER.name)
-        clean, bad = self.append(SILVER), self.append(QUARANTINE)
+        raw, clean, bad = self.append(BRONZE), self.append(SILVER), self.append(QUARANTINE)
 
         def write(batch: DataFrame, number: int) -> None:
             judged = silver.typed(batch).persist()  # both branches read it
@@ -82,18 +90,15 @@ class Medallion:
                 # equal ping ids have equal raw instants, so equal dates: only those dates are compared
                 clean.merge_insert(silver.clean_rows(judged), SILVER.sequence, label(number), "event_date")
                 self.fault("silver", number)
-                bad.merge_insert(silver.rejected_rows(judged), None, label(number))
+                # a reject's id holds its file: only the batch's files are compared
+                bad.merge_insert(silver.rejected_rows(judged), None, label(number), "_source_file")
             finally:
                 judged.unpersist()
 
-        if not Files(self.spark, self.env.home).exists(f"{self.bronze_path}/_spark_metadata"):
+        if not raw.exists():
             return Drained("silver_clean", 0, 0)
-        reader = self.spark.readStream.schema(BRONZE.schema)
-        if self.max_files:
-            reader = reader.option("maxFilesPerTrigger", self.max_files)
-        stream = reader.parquet(self.bronze_path)
-        writer = stream.writeStream.option("checkpointLocation", self.env.checkpoint_path(SILVER.name)).foreachBatch(write)
-        return run_available_now(writer, "silver_clean")
+        writer = raw.stream(write, self.max_files).option("checkpointLocation", self.env.checkpoint_path(SILVER.name))
+        return run_available_now(writer, "silver_clean", lambda: raw.handed)
 
     # -- gold -----------------------------------------------------------------
 
@@ -109,10 +114,10 @@ class Medallion:
                 if pings.isEmpty():
                     return
                 trucks = self.trucks()  # as of this batch
-                rows = trucks.count()
-                position.merge_upsert(gold.current_position(pings, trucks, self.env.geofence, rows), POSITION.sequence)
+                size = gold.measured(trucks)
+                position.merge_upsert(gold.current_position(pings, trucks, self.env.geofence, size), POSITION.sequence)
                 self.fault("gold", number)
-                windows = gold.recompute_touched(pings, clean.read(), trucks, rows)
+                windows = gold.recompute_touched(pings, clean.read(), trucks, size)
                 if windows is not None:
                     activity.merge_upsert(windows)
                     if self.delete_stale:
@@ -120,17 +125,22 @@ class Medallion:
             finally:
                 pings.unpersist()
 
-        options = {"maxFilesPerTrigger": str(self.max_files)} if self.max_files else {}
-        stream = clean.stream(**options)
-        writer = stream.writeStream.option("checkpointLocation", self.env.checkpoint_path("gold_build")).foreachBatch(write)
-        return run_available_now(writer, "gold_build")
+        writer = clean.stream(write, self.max_files).option("checkpointLocation", self.env.checkpoint_path("gold_build"))
+        return run_available_now(writer, "gold_build", lambda: clean.handed)
 
     def _drop_stale(self, batch: DataFrame, windows: DataFrame, activity: SnapshotTable) -> None:
         """Remove a touched window's rows for regions that no longer have pings in it."""
         touched, keys = gold.touched_windows(batch), ["region", "window_start"]
-        old = activity.read().join(touched, "window_start", "left_semi").join(windows.select(*keys), keys, "left_anti").select(*keys)
-        if not old.isEmpty():
-            activity.rewrite(lambda df: df.join(old, keys, "left_anti"))
+        old = activity.read().join(touched, "window_start", "left_semi").join(windows.select(*keys), keys, "left_anti").select(*keys).persist()
+        try:
+            activity.delete_keys(old)
+        finally:
+            old.unpersist()
+
+    def maintain(self, keep: int = 50) -> dict[str, int]:
+        """Forget all but the newest versions of every table; for the end of a run, when its streams have read what is there."""
+        tables = [self.append(s) for s in (BRONZE, SILVER, QUARANTINE)] + [self.snapshot(s) for s in (TRUCKS, POSITION, ACTIVITY)]
+        return {t.path.rpartition("/")[2]: t.vacuum(keep) for t in tables if t.exists()}
 
     # -- the rest ---------------------------------------------------------------
 

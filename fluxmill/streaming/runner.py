@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import StreamingQueryException
@@ -13,16 +14,16 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class Drained:
-    """What a run did over all its micro-batches (as far as Spark keeps their progress)."""
+    """What a run did over all its micro-batches (as far as Spark keeps their progress); rows of the source: lines of files, appends of tables."""
 
     name: str
     batches: int
     rows: int
 
 
-def run_available_now(writer: DataStreamWriter, name: str, path: str | None = None) -> Drained:
-    """Start with the available-now trigger, wait for the end and add up the progress of every batch."""
-    return _wait(writer.trigger(availableNow=True).queryName(name), name, path)
+def run_available_now(writer: DataStreamWriter, name: str, rows: Callable[[], int] | None = None) -> Drained:
+    """Start with the available-now trigger, wait for the end and add up the progress of every batch; ``rows`` counts what the source's own rows don't."""
+    return _wait(writer.trigger(availableNow=True).queryName(name), name, rows)
 
 
 def run_every(writer: DataStreamWriter, name: str, interval: str, path: str | None = None):
@@ -31,14 +32,14 @@ def run_every(writer: DataStreamWriter, name: str, interval: str, path: str | No
     return writer.start(path) if path else writer.start()
 
 
-def _wait(writer: DataStreamWriter, name: str, path: str | None) -> Drained:
-    query = writer.start(path) if path else writer.start()
+def _wait(writer: DataStreamWriter, name: str, rows: Callable[[], int] | None) -> Drained:
+    query = writer.start()
     try:
         query.awaitTermination()
     except StreamingQueryException as e:
         raise StreamFailed(name, root_cause(str(e))) from e
     progress = [p for p in query.recentProgress if p["numInputRows"]]
-    done = Drained(name, len(progress), sum(p["numInputRows"] for p in progress))
+    done = Drained(name, len(progress), rows() if rows else sum(p["numInputRows"] for p in progress))
     log.info("%s: %d rows in %d batches", name, done.rows, done.batches)
     return done
 

@@ -1,4 +1,6 @@
 import json
+import time
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,7 +80,7 @@ def test_rerun_and_copied_files_change_nothing(spark, tmp_path, expected):
     assert m.bronze().count() == 12
 
 
-@pytest.mark.parametrize("place", ["silver", "gold"])
+@pytest.mark.parametrize("place", ["bronze", "silver", "gold"])
 def test_crash_between_writes_is_made_good(spark, tmp_path, expected, place):
     calls = []
 
@@ -88,10 +90,9 @@ def test_crash_between_writes_is_made_good(spark, tmp_path, expected, place):
             raise RuntimeError("pulled the plug")
 
     m = environment(spark, tmp_path, fault=fault)
-    m.run_bronze()
     with pytest.raises(StreamFailed, match="pulled the plug"):
-        m.run_silver()
-        m.run_gold()
+        m.run()
+    m.run_bronze()
     m.run_silver()
     m.run_gold()
     assert calls and state(m) == expected
@@ -131,7 +132,9 @@ def test_rescued_data_and_schema_log(spark, tmp_path):
     whole = sorted(json.loads(r["_rescued_data"])["_corrupt_record"] for r in m.bronze().where("truck_id IS NULL AND _rescued_data IS NOT NULL").collect())
     assert whole == ["[1]", "{bad"] and m.bronze().count() == 5
     log = landing.SchemaLog(spark, m.env.checkpoint_path("bronze_pings_raw_schema"))
-    assert set(log.fields()) == {"latitude", "nested", "speed"} and log.note(["speed"]) == []
+    assert log.types() == {"latitude": "STRING", "nested": "STRING", "speed": "BIGINT"}
+    assert log.note({"speed": "DOUBLE"}) == [] and log.types()["speed"] == "DOUBLE" and log.note({"speed": "BOOLEAN", "z": "BOOLEAN"}) == ["z"]
+    assert log.types()["speed"] == "STRING"
     assert m.bronze().where("_source_file LIKE '%.json'").count() == 5
 
 
@@ -145,7 +148,7 @@ def test_plans(spark):
 def test_jobs(spark, tmp_path):
     env = Env(str(tmp_path), batches=3)
     assert [o.state for o in jobs.setup_job(spark, env)] == ["done"] * 3
-    assert [o.state for o in jobs.medallion_job(spark, env)] == ["done"] * 5
+    assert [o.state for o in jobs.medallion_job(spark, env)] == ["done"] * 6
     raw, clean, bad = (read_table(spark, env, t).count() for t in ("bronze_pings_raw", "silver_pings", "silver_pings_quarantine"))
     assert raw == clean + bad + 3 and bad == 3
     text = verify.report(spark, env)
@@ -165,6 +168,11 @@ def test_failed_task_skips_what_follows(spark, tmp_path):
     out = jobs.run_job(spark, Env(str(tmp_path)), "j", [jobs.Task("c", list, ("b",)), jobs.Task("a", list), jobs.Task("b", fail, ("a",))])
     assert [(o.task, o.state) for o in out] == [("a", "done"), ("b", "failed"), ("c", "skipped")]
     assert "no such thing" in jobs.last_failure(out).cause
+    # the run is stored: another process finds what failed
+    found = jobs.last_error(spark, Env(str(tmp_path)))
+    assert found["job"] == "j" and found["task"] == "b" and "no such thing" in found["cause"]
+    jobs.run_job(spark, Env(str(tmp_path)), "k", [jobs.Task("a", list)])
+    assert [r["job"] for r in jobs.runs(spark, Env(str(tmp_path)))] == ["k", "j"] and jobs.last_error(spark, Env(str(tmp_path)), "k") is None
     with pytest.raises(ValueError):
         jobs.ordered([jobs.Task("x", list, ("y",))])
 
@@ -184,3 +192,59 @@ def test_kept_running(spark, tmp_path):
 def test_seeded_sources(spark):
     rows = lambda: pings.seeded_trucks(spark).drop("_updated_at").collect()
     assert rows() == rows() and len({r["truck_id"] for r in rows()}) == 20
+
+
+def test_fields_become_columns_on_request(spark, tmp_path):
+    m = environment(spark, tmp_path, files=[[{**ping("a", 1), "speed": 5, "ok": True, "note": "x"}]], evolve=True)
+    m.run_bronze()
+    assert dict(m.bronze().dtypes)["speed"] == "bigint" and dict(m.bronze().dtypes)["ok"] == "boolean"
+    pings.land(spark, m.env.landing_path, [[{**ping("b", 2), "speed": 7, "note": "y", "other": 1}]], "more")
+    m.run()
+    got = {r["truck_id"]: r for r in m.bronze().collect()}
+    assert got["a"]["speed"] is None and json.loads(got["a"]["_rescued_data"])["speed"] == "5"
+    assert got["b"]["speed"] == 7 and got["b"]["note"] == "y" and json.loads(got["b"]["_rescued_data"]) == {"other": "1"}
+    assert m.append(SILVER).read().count() == 2
+
+
+def test_one_late_ping_reads_and_rewrites_its_day(spark, tmp_path):
+    def on(day, truck="TRK-001"):
+        return {"truck_id": truck, "latitude": 41.9, "longitude": -87.6, "event_ts": f"2024-01-{day:02d}T10:00:00+00:00"}
+
+    m = environment(spark, tmp_path, files=[[on(d) for d in range(1, 21)]])
+    m.run()
+    before = m.snapshot(ACTIVITY).entry()["parts"]
+    assert sorted(before) == [f"2024-01-{d:02d}" for d in range(1, 21)]
+    pings.land(spark, m.env.landing_path, [[on(7, "TRK-002")]], "late")
+    m.run()
+    after = m.snapshot(ACTIVITY).entry()["parts"]
+    assert [d for d in after if after[d] != before[d]] == ["2024-01-07"]
+    batch = m.append(SILVER).read().where("truck_id = 'TRK-002'")
+    plan = gold.recompute_touched(batch, m.append(SILVER).read(), m.trucks(), 100)._jdf.queryExecution().executedPlan().toString()
+    filters = [p.partition("]")[0] for p in plan.split("PartitionFilters: [")[1:]]
+    assert any("event_date" in f and "2024-01-07" in f for f in filters), plan
+
+
+def test_bytes_bound_a_batch(spark, tmp_path):
+    m = environment(spark, tmp_path, max_bytes=1)
+    assert m.run_bronze().batches == len(FILES)
+    began = time.monotonic()
+    assert pings.generate(spark, str(tmp_path / "g"), 3, sleep_seconds=0.2) > 0 and time.monotonic() - began >= 0.4
+
+
+def test_schedules():
+    at = lambda *t: datetime(2024, 1, 1, *t, tzinfo=UTC)
+    assert jobs.due("hourly", at(10, 0, 1)) == at(11) and jobs.due("quarter-hourly", at(10, 15)) == at(10, 30)
+    clock, waits, done = [at(10, 7)], [], []
+
+    def sleep(seconds):
+        waits.append(seconds)
+        clock[0] += timedelta(seconds=seconds)
+
+    def act():
+        done.append(clock[0])
+        clock[0] += timedelta(minutes=20)  # longer than the period: a start is missed
+
+    assert jobs.run_scheduled(Env("/r", schedule="quarter-hourly"), act, 2, lambda: clock[0], sleep) == 2
+    assert done == [at(10, 15), at(10, 45)] and waits == [480.0, 600.0]
+    with pytest.raises(ValueError):
+        jobs.run_scheduled(Env("/r"), act, 1)
