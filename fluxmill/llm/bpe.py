@@ -28,7 +28,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import ahocorasick
 import numpy as np
@@ -42,7 +42,7 @@ END = "\ue000"  # stands for the end-of-word suffix inside match strings
 _MARK = "</w>"
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_SPLIT = re.compile(r"[\x1c-\x1f]")  # str.split would part at these, too
-_GENERATION = 150_000
+_GENERATION = 250_000
 _PAIRS = 1_500_000
 _VOCABULARY_BYTES = 64 << 20
 
@@ -158,28 +158,35 @@ class Transducer:
             self._scan = self.found.iter(symbols)
         else:
             self._scan.set(symbols)
-        last, base, border, may = self._last, self._base, self._border, self.may_follow
+        last, base, border, known = self._last, self._base, self._border, self._pairs.get
         last.extend([-1] * len(symbols))
         for end, (token, n) in self._scan:
             here = end - base
-            if last[here] < 0:
-                start = here - n
-                before = last[start] if start >= 0 else border
-                if start >= -1 and (before < 0 and start < 0 or before >= 0 and may(before, token)):
-                    last[here] = token
+            if last[here] >= 0:
+                continue
+            start = here - n
+            if start >= 0:
+                before = last[start]
+                if before >= 0:
+                    apart = known(before << 20 | token)
+                    if apart or apart is None and self.may_follow(before, token):
+                        last[here] = token
+            elif start == -1 and (border < 0 or self.may_follow(border, token)):
+                last[here] = token
         self._at += len(symbols)
         return self._emit(self.lookahead) if len(last) > 2 * (self.lookahead + self.longest) else []
 
     def _emit(self, keep: int) -> list[int]:
         """The tokens of the current encoding that end further back than ``keep`` symbols."""
-        last, out = self._last, []
-        at = len(last) - 1
+        last, out, length = self._last, [], self.length
+        at, stop = len(last) - 1, len(last) - keep
         while at >= 0:
-            if last[at] < 0:
+            token = last[at]
+            if token < 0:
                 raise ValueError("the lookahead was too short")
-            if at < len(last) - keep:
-                out.append(last[at])
-            at -= self.length[last[at]]
+            if at < stop:
+                out.append(token)
+            at -= length[token]
         if at != -1:
             raise ValueError("the lookahead was too short")
         out.reverse()
@@ -198,10 +205,13 @@ class Transducer:
 
     def word(self, symbols: str, piece: int = 4096) -> list[int]:
         """A whole word's ids, fed in pieces, the last with the word's end."""
-        out, last = [], (len(symbols) - 1) // piece * piece
-        for i in range(0, last, piece):
-            out += self.feed(symbols[i : i + piece])
-        out += self.feed(symbols[last:] + END)
+        out: list[int] = []
+        if len(symbols) > piece:
+            last = (len(symbols) - 1) // piece * piece
+            for i in range(0, last, piece):
+                out += self.feed(symbols[i : i + piece])
+            symbols = symbols[last:]
+        out += self.feed(symbols + END)
         out += self._emit(0)
         self._reset()
         return out
@@ -231,13 +241,15 @@ class Decoder:
     def feed(self, ids: Iterable[int]) -> str:
         if self.kind == "ByteLevel":
             return "".join([self._state.decode(self.bytes[i]) for i in ids if i in self.bytes])
-        made = [t for t in map(self.tokens.get, ids) if t is not None]
+        made = list(map(self.tokens.get, ids))
+        if None in made:
+            made = [t for t in made if t is not None]
         out = " " * (self._begun and bool(made)) + " ".join(made)
         self._begun = self._begun or bool(made)
         return out
 
     def feed_bytes(self, ids: Iterable[int]) -> str:
-        return self._text.decode(b"".join([self.bytes[i] for i in ids if i in self.bytes]))
+        return self._text.decode(b"".join(map(self.bytes.get, ids, repeat(b""))))
 
     def finish(self) -> str:
         out = self._state.decode(b"", True) if self.kind == "ByteLevel" else ""
@@ -270,8 +282,8 @@ class Tokenizer:
         self.tokens = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.added.items()}
         self.decoder = (spec["decoder"] or {}).get("type")
         self._machine = Decoder(self.tokens, self.decoder, model["end_of_word_suffix"])
-        self._young: dict[str | int, tuple[str, array]] = {}
-        self._old: dict[str | int, tuple[str, array]] = {}
+        self._young: dict[str | int, tuple[str, bytes]] = {}
+        self._old: dict[str | int, tuple[str, bytes]] = {}
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
@@ -285,9 +297,7 @@ class Tokenizer:
 
     def chunk_ids(self, chunk: str) -> list[int]:
         """Ids of text without white space."""
-        if chunk.isalpha():
-            return self.transducer.word(self.symbols(chunk))
-        return [i for piece in self.pieces.findall(chunk) for i in self.transducer.word(self.symbols(piece))]
+        return array("i", self._entry(chunk)[1]).tolist()
 
     def _chunks(self, text: str) -> Iterator[str | int]:
         parts = self.special.split(text) if "<|" in text else [text]
@@ -301,18 +311,31 @@ class Tokenizer:
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         for chunk in self._chunks(text or ""):
-            out.extend([chunk] if isinstance(chunk, int) else self.chunk_ids(chunk))
+            out.extend(array("i", self._entry(chunk)[1]))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
         return self._machine.feed(ids) + self._machine.finish()
 
-    def _entry(self, chunk: str | int) -> tuple[str, array]:
-        """What the transducer emits for a chunk, in decimal and as integers, remembered for frequent chunks."""
+    def _entry(self, chunk: str | int) -> tuple[str, bytes]:
+        """What the transducer emits for a chunk, in decimal and as integers, remembered for frequent chunks and their pieces."""
+        got = self._young.get(chunk)
+        if got is not None:
+            return got
         got = self._old.get(chunk)
         if got is None:
-            ids = [chunk] if isinstance(chunk, int) else self.chunk_ids(chunk)
-            got = (" ".join(map(str, ids)), array("i", ids))
+            if isinstance(chunk, int):
+                ids = [chunk]
+            elif chunk.isalpha():
+                ids = self.transducer.word(chunk if chunk.isascii() else self.symbols(chunk))
+            else:
+                pieces = self.pieces.findall(chunk)
+                ids = self.transducer.word(self.symbols(pieces[0])) if len(pieces) == 1 else None
+            if ids is not None:
+                got = (" ".join(map(str, ids)), array("i", ids).tobytes())
+            else:
+                parts = [self._entry(p) for p in pieces]
+                got = (" ".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
         if len(self._young) >= _GENERATION:
             self._old, self._young = self._young, {}
         self._young[chunk] = got
@@ -320,15 +343,13 @@ class Tokenizer:
 
     def pieces_of(self, text: str | None, size: int = 4096) -> Iterator[tuple[str, array]]:
         """The text's ids as they become stable, in decimal and as integers, some thousand chunks at a time."""
-        entry = self._entry
-        chunks = iter(self._chunks(text or ""))
+        entry, chunks = self._entry, iter(self._chunks(text or ""))
         while part := list(islice(chunks, size)):
             get = self._young.get
             held = [get(c) or entry(c) for c in part]
             ids = array("i")
-            for _, more in held:
-                ids.extend(more)
-            yield " ".join([d for d, more in held if more]), ids
+            ids.frombytes(b"".join([more for _, more in held]))
+            yield " ".join([d for d, _ in held if d]), ids
 
     def packed(self, text: str | None) -> bytes:
         """The ids as native 32-bit integers."""
