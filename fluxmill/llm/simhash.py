@@ -22,7 +22,7 @@ take part, and a group is named by its smallest id that isn't null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -68,16 +68,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little")
 
 
-def with_fingerprint(df: DataFrame, text: str = "text", output: str = "fingerprint", ident: str = "doc_id") -> DataFrame:
-    """(ident, output): the fingerprint as a signed long of the same 64 bits; narrow."""
-    source = df.select(df[ident].cast("long").alias("i"), df[text].alias("t"))
+def with_fingerprint(df: DataFrame, text: str = "text", output: str = "fingerprint", ident: str = "doc_id", also: Sequence[str] = ()) -> DataFrame:
+    """(ident, also, output): the fingerprint as a signed long of the same 64 bits; narrow."""
+    source = df.select(df[ident].cast("long").alias("i"), *[df[c] for c in also], df[text].alias("t"))
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], [ident, output])
+            prints = np.array([fingerprint(t.as_py()) for t in b.column(len(also) + 1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(also) + 1)), pa.array(prints, pa.int64())], [ident, *also, output])
 
-    return source.mapInArrow(run, f"`{ident}` bigint, `{output}` bigint")
+    return source.mapInArrow(run, ", ".join([f"`{ident}` bigint", *(f"`{c}` {kinds[c]}" for c in also), f"`{output}` bigint"]))
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,9 +213,9 @@ def hex16(column: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """(ident, fingerprint, component_id) per row of ``df``."""
-    prints = stash(with_fingerprint(df, text, "p", ident), "simhash")
+def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", radius: int = RADIUS, also: Sequence[str] = ()) -> DataFrame:
+    """(ident, fingerprint, component_id, also) per row of ``df``."""
+    prints = stash(with_fingerprint(df, text, "p", ident, also), "simhash")
     distinct = stash(prints.groupBy("p").agg(F.min(ident).alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     linked = connected(stash(link_prints(distinct, "p", distinct.count(), radius), "simhash-links"))
     # a fingerprint without links names its own group; of the linked ones, a group of any size is named by an aggregate
@@ -227,4 +228,4 @@ def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", ra
     out = [prints.join(by_print.select("p", "component_id"), "p", "left")]
     if many := hot.count():
         out = [prints.join(F.broadcast(hot), "p"), prints.join(F.broadcast(hot.select("p")), "p", "left_anti").join(by_print.select("p", "component_id"), "p", "left")] if many <= BROADCAST_ROWS else out
-    return reduce(DataFrame.unionByName, [x.select(ident, hex16("p").alias("fingerprint"), "component_id") for x in out])
+    return reduce(DataFrame.unionByName, [x.select(ident, hex16("p").alias("fingerprint"), "component_id", *also) for x in out])

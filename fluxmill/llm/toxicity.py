@@ -49,7 +49,7 @@ from fluxmill.llm.langid import held_out
 
 SAMPLE_DOCS = 12_000  # labelled documents, a quarter of them toxic where there are enough
 SAMPLE_CHARS = 64_000_000  # characters of them in all; in the order of a hash, documents that would pass it are left out
-SIGNIFICANT = 24.0  # log-likelihood ratio that a learned stem must reach beyond what trying so many stems gives by chance
+SIGNIFICANT = 20.0  # log-likelihood ratio that a learned stem must reach beyond what trying so many stems gives by chance
 PRECISE = {"I": 0.9, "J": 0.75, "H": 0.9}  # least share of a stem's witnesses that are toxic; repetition is weighed by how often
 LEAST = 4  # fewest witnesses of a stem
 SHARED = 1.3  # how many times the witnesses of its best ending a repeated stem must have to stand for all of them
