@@ -102,6 +102,10 @@ _SELECTS = {
     "delete_by_key": "SELECT truck_id, last_event_ts FROM position WHERE truck_id NOT IN ('TRK-000001', 'TRK-000002', 'TRK-000005')",
     "drop_column": "SELECT truck_id, last_event_ts, latitude, longitude, capacity_lbs, home_depot AS depot, region FROM position",
     "restore_version": "SELECT truck_id, region FROM position",
+    "change_feed": """
+        , n AS (SELECT truck_id, region, CAST(substr(truck_id, 5, 6) AS INT) % 7 AS k FROM position)
+        SELECT truck_id, CASE k WHEN 0 THEN 'moved' ELSE region END AS region, CASE k WHEN 0 THEN 'update' ELSE 'delete' END AS _change FROM n WHERE k < 2
+        UNION ALL SELECT 'TRK-999999', 'new', 'insert'""",
     "stream_bronze_silver_gold": "SELECT tbl, CAST(n AS BIGINT) AS n FROM (" + _COUNTS.format(rejects="rejects") + " UNION ALL SELECT 'window_pings', count(*) FROM silver)",
     "late_data_window": _ACTIVITY,
     "late_data_position": f"SELECT {_POSITIONS}, in_geofence, geofence_name, capacity_tons FROM position",

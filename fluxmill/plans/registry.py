@@ -218,6 +218,17 @@ def restore_version(spark, sf_dir):
     return table.read().select("truck_id", "region")
 
 
+def change_feed(spark, sf_dir):
+    """What an update, a delete and an insert changed between two versions."""
+    table = _positions(spark, sf_dir, "changes")
+    good = table.version
+    number = F.substring("truck_id", 5, 6).cast("int")
+    table.update({"region": F.lit("moved")}, number % 7 == 0)
+    table.delete(number % 7 == 1)
+    table.merge_upsert(spark.createDataFrame([("TRK-999999", "new")], "truck_id STRING, region STRING"))
+    return table.changes(good).select("truck_id", "region", "_change")
+
+
 def _land(spark, rows: DataFrame, folder: str, files: int) -> None:
     """Raw pings as JSON lines in ``files`` files, in the order of their events."""
     line = F.to_json(F.struct("truck_id", "latitude", "longitude", "event_ts"), {"ignoreNullFields": "false"})
@@ -481,7 +492,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         silver_clean, reject_reason_counts, quarantine_rows, current_position, current_position_geofenced, geofence_counts,
         region_activity_5m, region_activity_recompute, merge_insert_only, merge_upsert, merge_sequence_guard,
         merge_tolerant_columns, dedup_ordered, dedup_any, bronze_report, medallion_counts, dedup_proof, latest_positions_top20,
-        activity_top20, backfill_update, delete_by_key, drop_column, restore_version, stream_bronze_silver_gold,
+        activity_top20, backfill_update, delete_by_key, drop_column, restore_version, change_feed, stream_bronze_silver_gold,
         late_data_window, late_data_position, dimension_refresh, rescued_data, migration_ledger, catalog_columns,
         sql_statements, watermarked_activity, late_behind_watermark, approx_trucks, observed_schema, file_lineage,
         ingest_timestamp, in_memory_rows, synthetic_pings, seeded_dimension, empty_batches, replayed_batches,

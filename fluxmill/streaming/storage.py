@@ -374,6 +374,29 @@ class SnapshotTable(Table):
         except Conflict:  # the next merge tries again
             log.info("%s: left at %d buckets, another writer committed", self.path, entry["buckets"])
 
+    def changes(self, since: int, until: int | None = None) -> DataFrame:
+        """Rows that differ between two versions, as the later has them (deleted ones as the earlier had them), with ``_change``.
+
+        Only parts whose folders differ are read; columns that one version lacks are
+        left out of the comparison.
+        """
+        before, after = self.entry(since), self.entry(until)
+        schema = T.StructType.fromJson(after["schema"])
+        held = T.StructType.fromJson(before["schema"]).fieldNames()
+        common = T.StructType([f for f in schema if f.name in held])
+        differ = [b for b in {**before["parts"], **after["parts"]} if before["parts"].get(b) != after["parts"].get(b)]
+        read = lambda entry: self._frame([p for b in differ for p in entry["parts"].get(b, [])], common)
+        keys, names = after["keys"], common.fieldNames()
+        old = read(before).select(*[F.col(c).alias(f"o_{c}") for c in names], F.lit(True).alias("o_here"))
+        new = read(after).select(*[F.col(c).alias(f"n_{c}") for c in names], F.lit(True).alias("n_here"))
+        both = old.join(new, [F.col(f"o_{k}") == F.col(f"n_{k}") for k in keys], "full_outer")
+        moved = F.lit(False)
+        for c in names:
+            moved = moved | ~F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}"))
+        change = F.when(F.col("o_here").isNull(), "insert").when(F.col("n_here").isNull(), "delete").when(moved, "update")
+        out = both.withColumn("_change", change).where(F.col("_change").isNotNull())
+        return out.select(*[F.when(F.col("n_here").isNull(), F.col(f"o_{c}")).otherwise(F.col(f"n_{c}")).alias(c) for c in names], "_change")
+
     def update(self, changes: dict, condition) -> int:
         """Set columns where the condition is true (null counts as false)."""
         types = {f.name: f.dataType for f in self.schema}
