@@ -1,4 +1,5 @@
 -- The pipeline's tables. Safe to run again: a table that is there stays as it is.
+-- Fixed values: names, columns, types and order are the contract of the tables.
 
 CREATE TABLE IF NOT EXISTS ${catalog}.${schema}.bronze_pings_raw (
   truck_id STRING COMMENT 'as landed',

@@ -10,6 +10,7 @@ from fluxmill.plans.statements import Executor, columns_view, list_tables, read_
 
 TABLES = ["bronze_pings_raw", "silver_pings", "silver_pings_quarantine", "truck_details", "gold_truck_current_position", "gold_region_activity_5m"]
 
+# The named queries; their tables and columns are the contract of the tables.
 SQL = {
     "medallion_counts": " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n FROM {t}" for t in TABLES),
     "bronze_report": "SELECT count(*) AS bronze_rows, count(DISTINCT _source_file) AS files_ingested, min(_ingested_at) AS first_ingest, max(_ingested_at) AS last_ingest FROM bronze_pings_raw",
