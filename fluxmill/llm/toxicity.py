@@ -196,7 +196,7 @@ class Scorer:
             start = end + 1 - n
             if start < done or start and low[start - 1].isalpha():
                 continue
-            first = max(low.rfind(c, 0, start) for c in _ENDS) + 1
+            first = max(low.rfind(c, max(done, 0), start) for c in _ENDS) + 1  # no clause is looked through twice
             stop = _CLAUSE.search(low, end + 1)
             done = stop.start() if stop else len(low)
             if out is None:

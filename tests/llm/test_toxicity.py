@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -169,3 +170,11 @@ def test_without_labels(spark):
     got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(docs, model).collect()}
     assert got[1] < 0.5 <= got[2]
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_long_texts_take_time_in_proportion():
+    s = scorer()
+    began = time.perf_counter()
+    text = "x moron y. " * 40_000
+    c = s.counts(text)
+    assert c[toxicity.FORMS.index("I")] == 40_000 and time.perf_counter() - began < 20
