@@ -36,13 +36,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from fluxmill.llm.common import slices
+from fluxmill.llm.common import kept, slices
 
 END = "\ue000"  # stands for the end-of-word suffix inside match strings
 _MARK = "</w>"
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_SPLIT = re.compile(r"[\x1c-\x1f]")  # str.split would part at these, too
-_GENERATION = 250_000
+_GENERATION = 120_000
 _PAIRS = 1_500_000
 _VOCABULARY_BYTES = 64 << 20
 
@@ -373,15 +373,8 @@ class Tokenizer:
         return n, listed.hexdigest(), decoded.hexdigest(), restored.hexdigest()
 
 
-_loaded: dict[bytes, Tokenizer] = {}
-
-
 def _tokenizer(data: bytes) -> Tokenizer:
-    key = hashlib.sha256(data).digest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Tokenizer(data)
-    return _loaded[key]
+    return kept("bpe" + hashlib.sha256(data).hexdigest(), lambda: Tokenizer(data))
 
 
 def read_vocabulary(path: str) -> bytes:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -87,6 +87,17 @@ def join_salted(left: DataFrame, right: DataFrame, on: str, rows: int, by: Colum
     return left.withColumn("__salt", salt).join(dealt.hint("merge"), [on, "__salt"]).drop("__salt")
 
 
+_slot: dict = {}
+
+
+def kept(key: str, make: Callable[[], object]):
+    """A Python worker's one model: another takes its place, so a worker that serves several stages holds no more than the largest."""
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = make()
+    return _slot[key]
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows`` rows and about ``size`` bytes of a text column (one row at least), empty ones too."""
     for batch in batches:

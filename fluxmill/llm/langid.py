@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxmill.llm.common import slices
+from fluxmill.llm.common import kept, slices
 
 UND = "und"
 SAMPLE_DOCS = 96
@@ -115,7 +115,7 @@ class Parser:
         self.languages = sorted(references)
         texts = [letters(references[n]) for n in self.languages]
         known = sorted({int(c) for t in texts for c in t} | {32})
-        self.code = np.zeros(0x110000, np.int64)  # 0 is a letter that no reference has
+        self.code = np.zeros(0x110000, np.int32)  # 0 is a letter that no reference has
         for k, c in enumerate(known):
             self.code[c] = k + 1
         self.width = len(known) + 1
@@ -260,15 +260,8 @@ def references(df: DataFrame, text: str = "text", ident: str = "doc_id", label:
     return out
 
 
-_parsers: dict[str, Parser] = {}
-
-
 def _parser(refs: dict[str, str]) -> Parser:
-    key = hashlib.sha256(repr(sorted(refs.items())).encode()).hexdigest()
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(refs)
-    return _parsers[key]
+    return kept("langid" + hashlib.sha256(repr(sorted(refs.items())).encode()).hexdigest(), lambda: Parser(refs))
 
 
 def identify(df: DataFrame, refs: dict[str, str], text: str = "text", keep: Sequence[str] = ("doc_id",), outputs: Sequence[str] = ("lang_pred", "lang_score", "lang_bits", "lang_letters")) -> DataFrame:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxmill.llm.common import stash
+from fluxmill.llm.common import kept, stash
 from fluxmill.llm.langid import held_out
 
 SAMPLE_DOCS = 12_000  # labelled documents, a quarter of them toxic where there are enough
@@ -402,15 +402,8 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", ident: st
     return train([p[0] for p in pairs], [p[1] for p in pairs], weight)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
-    key = hashlib.sha256(repr(model).encode()).hexdigest()
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(*model)
-    return _scorers[key]
+    return kept("toxicity" + hashlib.sha256(repr(model).encode()).hexdigest(), lambda: Scorer(*model))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",), output: str = "toxicity") -> DataFrame:
