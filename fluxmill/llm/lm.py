@@ -20,10 +20,10 @@ and with weight MEMORY the line's share of all lines of the other documents.  So
 document whose lines others repeat scores apart.  Words and lines are looked up by
 64 bits of a hash.
 
-*Training.*  As masked models are, on a seeded share of the positions of every
-document, whole; the documents are dealt over ``ROUNDS`` rounds by a hash of their text.  In a round, each
+*Training.*  Every position of every document is masked and predicted once; the
+documents are dealt over ``ROUNDS`` rounds by a hash of their text.  In a round, each
 partition of the corpus trains the common network by stochastic gradients (Adagrad,
-numpy) and ships its change; changes are averaged block by block, each parameter
+numpy; batches grow with a partition's words) and ships its change; changes are averaged block by block, each parameter
 over the partitions that moved it.  The network starts as the exact unigram model.  Nothing
 that is collected or broadcast grows with the corpus: the frequent words, the
 network, the buckets' totals, the byte table and the counts of the ``COUNTED`` most
@@ -63,8 +63,8 @@ DIM = 16
 HIDDEN = 16
 SIDE = 2  # neighbours on each side
 ROUNDS = 2
-MASKED = 0.04  # share of a document's positions that training predicts
-BATCH = 4096
+BATCH, LEAST_BATCH = 32_768, 4096
+STEPS = 48  # of a partition in a round, where its words make batches between these sizes
 RATE = 0.15
 DISCOUNT = 0.75
 MEMORY = 0.1
@@ -74,7 +74,7 @@ _FLUSH = 400_000  # distinct words a task counts before it passes them on
 _KNOWN = 300_000
 _CHUNK = 2_000_000  # words of a chunk, one document at least
 _BLOCK = 2048  # parameters in a shipped row
-_SLICE = 1024  # positions whose logits are held at once, within a core's cache
+_SLICE = 256  # positions whose logits are held at once, within a core's cache
 _WAITING = 1 << 17  # words that are scored together
 
 
@@ -144,23 +144,26 @@ def layout(own: int, buckets: int) -> tuple[int, int]:
     return per, -(-own // per) * per + 1
 
 
-class Coder:
-    """Words to rows: the edge, the frequent words in order, then the buckets."""
+class Coder(dict):
+    """Words to rows: the edge, the frequent words in order, then the buckets; rare words are remembered for a while."""
 
     def __init__(self, frequent: list[str], buckets: int = BUCKETS):
         self.first, self.buckets = layout(len(frequent), buckets)[1], buckets
         self.own = {w.encode(): k + 1 for k, w in enumerate(frequent)}
-        self.known = dict(self.own)
+        super().__init__(self.own)
+
+    def __missing__(self, word: bytes) -> int:
+        return self.bucket(word)
 
     def bucket(self, word: bytes) -> int:
-        if len(self.known) >= _KNOWN + len(self.own):
-            self.known = dict(self.own)
-        got = self.known[word] = self.first + zlib.crc32(word) % self.buckets
+        if len(self) >= _KNOWN + len(self.own):
+            self.clear()
+            self.update(self.own)
+        got = self[word] = self.first + zlib.crc32(word) % self.buckets
         return got
 
     def rows(self, held: list[bytes]) -> list[int]:
-        get, bucket = self.known.get, self.bucket
-        return [get(w) or bucket(w) for w in held]
+        return list(map(self.__getitem__, held))
 
 
 def stream(coded: list[list[int]]) -> np.ndarray:
@@ -170,7 +173,7 @@ def stream(coded: list[list[int]]) -> np.ndarray:
     for c in coded:
         out += c
         out += gap
-    return np.array(out, np.int32)
+    return np.fromiter(out, np.int32, len(out))
 
 
 def windows(flat: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -227,18 +230,15 @@ class Network:
         return max(float(top.max()), float((np.abs(self.p["out"]).sum(2) + self.p["out_bias"]).max())) < 60
 
     @staticmethod
-    def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, keep: bool, bounded: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log-probabilities of the columns ``at``, one a row, and, to ``keep``, all probabilities."""
-        z = h @ weights
+    def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, room: np.ndarray, bounded: bool) -> np.ndarray:
+        """Log-probabilities of the columns ``at``, one a row; ``room`` holds the logits."""
+        z = np.matmul(h, weights, out=room[: len(at) * weights.shape[1]].reshape(len(at), -1))
         z += bias
         if not bounded:
             z -= z.max(1, keepdims=True)
         mine = z[np.arange(len(at)), at]
         np.exp(z, out=z)
-        total = z @ np.ones(z.shape[1], z.dtype)
-        if keep:
-            z /= total[:, None]
-        return mine - np.log(total), z if keep else None
+        return mine - np.log(z @ np.ones(z.shape[1], z.dtype))
 
     def _by_cluster(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray]]]:
         cluster, slot = np.divmod(target - 1, self.per)
@@ -254,48 +254,86 @@ class Network:
             return out
         h = np.empty((len(target), len(self.p["shift"])), self.p["shift"].dtype)
         cluster, slot, groups = self._by_cluster(target)
+        room = np.empty(min(len(target), _SLICE) * max(len(self.p["top_bias"]), self.per), h.dtype)
         for k in range(0, len(target), _SLICE):
             part = slice(k, k + _SLICE)
             h[part] = self.p["shift"]
             for d in range(2 * SIDE):
                 h[part] += self._mixed[d][context[part, d]]
             np.tanh(h[part], out=h[part])
-            out[part] = self._softmax(h[part], self.p["top"], self.p["top_bias"], cluster[part], False, self._bounded)[0]
+            out[part] = self._softmax(h[part], self.p["top"], self.p["top_bias"], cluster[part], room, self._bounded)
         for g, at in groups:
             for k in range(0, len(at), _SLICE):
                 part = at[k : k + _SLICE]
-                out[part] += self._softmax(h[part], self.p["out"][g].T, self.p["out_bias"][g], slot[part], False, self._bounded)[0]
+                out[part] += self._softmax(h[part], self.p["out"][g].T, self.p["out_bias"][g], slot[part], room, self._bounded)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-        """Mean negative log-likelihood of a batch, and its gradient: of the tables (embed, out, out_bias) as (places, values)."""
-        p, n = self.p, len(target)
-        h = self._hidden(context)
-        cluster, slot, groups = self._by_cluster(target)
-        mine, d = self._softmax(h, p["top"], p["top_bias"], cluster, True)
-        loss = -float(mine.sum(dtype=np.float64))
-        d[np.arange(n), cluster] -= 1
-        dh = d @ p["top"].T
-        grads: dict = {"top": h.T @ d / n, "top_bias": d.sum(0) / n}
-        places, outs, biases = [], [], []
-        for g, at in groups:
-            near = h[at]
-            mine, d = self._softmax(near, p["out"][g].T, p["out_bias"][g], slot[at], True)
-            loss -= float(mine.sum(dtype=np.float64))
-            d[np.arange(len(at)), slot[at]] -= 1
-            places.append(g)
-            outs.append(d.T @ near / n)
-            biases.append(d.sum(0) / n)
-            dh[at] += d @ p["out"][g]
-        grads["out"], grads["out_bias"] = (np.array(places), np.array(outs)), (np.array(places), np.array(biases))
-        da = dh * (1 - h * h) / n
+        """Mean negative log-likelihood of a batch, and its gradient: of the embeddings as (places, values).
+
+        The batch is sorted by its targets, so that a cluster's places and a row's lie
+        together. A softmax's gradient is taken as what it expects less what was there,
+        and divided by its total in the narrow factor, so its wide one is passed once.
+        """
+        p, n, kind = self.p, len(target), self.p["shift"].dtype
+        rows = np.uint16 if len(p["embed"]) < 1 << 16 else np.int64  # which sort by radix
+        order = np.argsort(target.astype(rows), kind="stable")
+        target, around = target[order], [context[:, k].astype(rows)[order] for k in range(2 * SIDE)]
+        near = [p["embed"][by] for by in around]
+        size = len(p["shift"])
+        h = np.ones((n, size + 1), kind)  # the last column meets the bias
+        np.tanh(sum((e @ m for e, m in zip(near, p["mix"])), p["shift"]), out=h[:, :size])
+        top, low = np.vstack([p["top"], p["top_bias"]]), np.concatenate([p["out"].transpose(0, 2, 1), p["out_bias"][:, None]], 1)
+        bounded = [float((np.abs(w[..., :size, :]).sum(-2) + w[..., size, :]).max()) < 60 for w in (top, low)]
+        cluster, slot = np.divmod(target - 1, self.per)
+        dh, loss = np.zeros((n, size), kind), 0.0
+        room = np.empty(min(n, _SLICE) * max(top.shape[1], self.per), kind)
+
+        def descend(w: np.ndarray, back: np.ndarray, at: np.ndarray, part: slice, bounded: bool) -> np.ndarray:
+            """What a slice of the batch expects of a softmax's weights; its part of the loss and of ``dh``."""
+            nonlocal loss
+            z = np.matmul(h[part], w, out=room[: len(at) * w.shape[1]].reshape(len(at), -1))
+            if not bounded:
+                z -= z.max(1, keepdims=True)
+            mine = z[np.arange(len(at)), at]
+            np.exp(z, out=z)
+            total = z @ np.ones(z.shape[1], kind)
+            loss += float(np.log(total).sum(dtype=np.float64) - mine.sum(dtype=np.float64))
+            total = 1 / total[:, None]
+            d = z @ back
+            d *= total
+            d -= back[at]
+            dh[part] += d
+            return (h[part] * total).T @ z
+
+        d_top, d_low, back = np.zeros_like(top), np.zeros_like(low), np.ascontiguousarray(p["top"].T)
+        for k in range(0, n, _SLICE):
+            part = slice(k, min(k + _SLICE, n))
+            d_top += descend(top, back, cluster[part], part, bounded[0])
+        cuts = np.flatnonzero(np.r_[True, np.diff(cluster) != 0, True])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            g = cluster[a]
+            for k in range(a, b, _SLICE):
+                part = slice(k, min(k + _SLICE, b))
+                d_low[g] += descend(low[g], p["out"][g], slot[part], part, bounded[1])
+        first = np.flatnonzero(np.r_[True, np.diff(target) != 0])
+        there = np.add.reduceat(h, first, axis=0)
+        d_low[cluster[first], :, slot[first]] -= there
+        d_top[:, cluster[cuts[:-1]]] -= np.add.reduceat(there, np.searchsorted(first, cuts[:-1]), axis=0).T
+        d_top /= n
+        d_low /= n
+        grads: dict = {"top": d_top[:size], "top_bias": d_top[size], "out": d_low[:, :size].transpose(0, 2, 1), "out_bias": d_low[:, size]}
+        hidden = h[:, :size]
+        da = dh * (1 - hidden * hidden) / n
         grads["shift"] = da.sum(0)
-        grads["mix"] = np.stack([p["embed"][context[:, k]].T @ da for k in range(2 * SIDE)])
-        rows = context.T.reshape(-1)
-        moved = np.concatenate([da @ p["mix"][k].T for k in range(2 * SIDE)])
-        order = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
-        grads["embed"] = (rows[order][first], np.add.reduceat(moved[order], first, axis=0))
+        grads["mix"] = np.stack([e.T @ da for e in near])
+        moved = np.zeros_like(p["embed"])
+        for k, by in enumerate(around):
+            order = np.argsort(by, kind="stable")
+            by = by[order]
+            first = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
+            moved[by[first]] += np.add.reduceat(da[order], first, axis=0) @ p["mix"][k].T
+        grads["embed"] = moved
         return loss / n, grads
 
     def update(self, grads: dict, squares: dict[str, np.ndarray], rate: float) -> None:
@@ -318,8 +356,8 @@ class Network:
         return Network(out)
 
 
-def fit_partition(net: Network, texts: Iterator[str | None], coder: Coder, seed: tuple[int, ...], rate: float, masked: float = MASKED, batch: int = BATCH) -> tuple[Network, int, float]:
-    """The network after one pass over a seeded share of the texts' positions, how many they were, and their mean loss on the way."""
+def fit_partition(net: Network, texts: Iterator[str | None], coder: Coder, seed: tuple[int, ...], rate: float, masked: float = 1.0, batch: int = LEAST_BATCH) -> tuple[Network, int, float]:
+    """The network after one pass over all positions of the texts (a seeded share of them, if ``masked`` says so), how many they were, and their mean loss on the way."""
     net = net.like(net.dump())
     squares = {n: np.zeros_like(x) for n, x in net.p.items()}
     rng, held, size, done, loss = np.random.default_rng(seed), [], 0, 0, 0.0
@@ -327,7 +365,8 @@ def fit_partition(net: Network, texts: Iterator[str | None], coder: Coder, seed:
     def step(flat: np.ndarray) -> None:
         nonlocal done, loss
         places = np.flatnonzero(flat != EDGE)
-        places = places[rng.random(len(places)) < masked]
+        if masked < 1:
+            places = places[rng.random(len(places)) < masked]
         rng.shuffle(places)
         for k in range(0, len(places), batch):
             part = places[k : k + batch]
@@ -365,14 +404,14 @@ def _bucket(buckets: int):
     return F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(buckets)).cast("int")
 
 
-def _round(docs: DataFrame, frequent: list[str], net: Network, number: int, rounds: int, rate: float, buckets: int, masked: float) -> tuple[Network, float]:
+def _round(docs: DataFrame, frequent: list[str], net: Network, number: int, rounds: int, rate: float, buckets: int, masked: float, batch: int) -> tuple[Network, float]:
     """Every partition trains the network on its documents; their changes are averaged, each parameter over those that moved it."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, net.p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, parts = shared.value
         start = Network(parts)
-        after, done, loss = fit_partition(start, (t.as_py() for b in batches for t in b.column(0)), Coder(own, buckets), (7, number, TaskContext.get().partitionId()), rate, masked)
+        after, done, loss = fit_partition(start, (t.as_py() for b in batches for t in b.column(0)), Coder(own, buckets), (7, number, TaskContext.get().partitionId()), rate, masked, batch)
         if not done:
             return
         change = (after.dump() - start.dump()).astype(np.float16)
@@ -439,7 +478,7 @@ def _counted(table: DataFrame, most: int) -> list[tuple[str, int]]:
     return [(r["word"], r["n"]) for r in table.where(F.col("n") >= _cut(table, most)).collect()] if most else []
 
 
-def train(docs: DataFrame, text: str = "text", own: int = OWN, buckets: int = BUCKETS, dim: int = DIM, hidden: int = HIDDEN, rounds: int = ROUNDS, masked: float = MASKED, rate: float = RATE, counted: int = COUNTED) -> Model:
+def train(docs: DataFrame, text: str = "text", own: int = OWN, buckets: int = BUCKETS, dim: int = DIM, hidden: int = HIDDEN, rounds: int = ROUNDS, masked: float = 1.0, rate: float = RATE, counted: int = COUNTED) -> Model:
     """The model. Only its parts of fixed size reach the driver."""
     table = stash(word_counts(docs, text), "lm-words")
     top = _frequent(table, own)
@@ -456,11 +495,13 @@ def train(docs: DataFrame, text: str = "text", own: int = OWN, buckets: int = BU
     counts, rest = np.array([n for _, n in top], np.float64), np.array([n for n, _ in held], np.float64)
     net, losses = Network.fresh(counts, rest, dim, hidden), []
     texts = docs.select(F.col(text)).where(F.col(text).isNotNull())
-    fit = max(1, int(counts.sum() + rest.sum()) // PARTITION_TOKENS)
-    if texts.rdd.getNumPartitions() > fit:
+    tokens = int(counts.sum() + rest.sum())
+    fit, held_in = max(1, tokens // PARTITION_TOKENS), texts.rdd.getNumPartitions()
+    if held_in > fit:
         texts = texts.coalesce(fit)
+    batch = min(max(tokens // (max(min(held_in, fit), 1) * rounds * STEPS), LEAST_BATCH), BATCH)
     for k in range(rounds):
-        net, loss = _round(texts, frequent, net, k, rounds, rate * 0.6**k, buckets, masked)
+        net, loss = _round(texts, frequent, net, k, rounds, rate * 0.6**k, buckets, masked, batch)
         losses.append(loss)
     return Model.of(frequent, net.p, held, spelling(byte_counts(table)), more, table, losses)
 

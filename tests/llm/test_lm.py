@@ -142,6 +142,42 @@ def test_training_learns_the_order_of_words(spark):
     assert again[0] == model[0] and all((again[1][n] == model[1][n]).all() for n in model[1])
 
 
+def test_every_position_is_trained_on(spark, monkeypatch):
+    """By default, over batches and rounds: each word is a target as often as it occurs."""
+    texts = [*corpus(), "once", None, ""]
+    counts = Counter(w for t in texts for w in (t or "").split())
+    coder, seen, gradient = lm.Coder([w for w, _ in counts.most_common(8)], 4), Counter(), lm.Network.gradient
+    net = lm.Network.fresh(np.ones(8), np.ones(4), 3, 4)
+
+    def noted(self, context, target):
+        seen.update(target.tolist())
+        return gradient(self, context, target)
+
+    monkeypatch.setattr(lm.Network, "gradient", noted)
+    done = lm.fit_partition(net, iter(texts), coder, (1,), 0.1)[1]
+    assert done == counts.total() and seen == Counter(r for t in texts for r in coder.rows(lm.words(t)))
+    seen.clear()
+    assert lm.fit_partition(net, iter(texts), coder, (1,), 0.1, batch=7)[1] == counts.total() and seen.total() == counts.total()
+    monkeypatch.setattr(lm.Network, "gradient", gradient)
+    shipped, fit = [], lm._round
+    monkeypatch.setattr(lm, "_round", lambda *a: (shipped.append(a[7]), fit(*a))[1])
+    lm.train(frame(spark, texts), own=8, buckets=4, dim=3, hidden=4)
+    assert shipped == [1.0] * lm.ROUNDS
+
+
+def test_unbounded_logits_by_brute_force(tiny):
+    net, context, target = tiny
+    net.p["top_bias"] = net.p["top_bias"] + 800
+    net.p["out_bias"] = net.p["out_bias"] + 800 * (net.p["out_bias"] > -1e8)
+    loss, grads = net.gradient(context, target)
+    assert loss == pytest.approx(-naive_shifted(net, context, target).mean()) and all(np.isfinite(g).all() for g in grads.values())
+
+
+def naive_shifted(net, context, target):
+    low = lm.Network({**net.p, "top_bias": net.p["top_bias"] - 800, "out_bias": net.p["out_bias"] - 800 * (net.p["out_bias"] > -1e8)})
+    return naive(low, context, target)
+
+
 def test_training_over_partitions(spark, monkeypatch):
     monkeypatch.setattr(lm, "PARTITION_TOKENS", 100)
     df = frame(spark, [*corpus(), None]).repartition(4)
