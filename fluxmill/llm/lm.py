@@ -41,8 +41,7 @@ empty table trains nothing and gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cached_property
 from itertools import repeat
 
@@ -70,11 +69,13 @@ DISCOUNT = 0.75
 MEMORY = 0.1
 EDGE = 0
 PARTITION_TOKENS = 1_000_000  # least tokens that a training partition has, so that what it ships is small beside what it reads
-_FLUSH = 400_000  # distinct words a task counts before it passes them on
+_FLUSH = 4_000_000  # words a task counts before it passes them on
+_PORTION = 1 << 22  # characters that are split at once, one text at least
 _KNOWN = 300_000
 _CHUNK = 2_000_000  # words of a chunk, one document at least
 _BLOCK = 2048  # parameters in a shipped row
-_SLICE = 256  # positions whose logits are held at once, within a core's cache
+_SLICE = 512  # positions whose logits are held at once, within a core's cache
+_NEAR = 4096  # positions whose neighbours are gathered at once
 _WAITING = 1 << 17  # words that are scored together
 
 
@@ -83,23 +84,76 @@ def words(text: str | None) -> list[bytes]:
     return text.lower().encode().split() if text else []
 
 
+def portions(texts: Iterable[str | None], most: int) -> Iterator[list[str | None]]:
+    """The texts in order, some of them at a time: about ``most`` characters, one text at least."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "") + 1
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def lowered(texts: list[str | None]) -> pa.Array:
+    return pa.array([t.lower() if t else "" for t in texts], pa.string())
+
+
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words`` of lowered texts, in one array, and how many each text has."""
+    found = pc.ascii_split_whitespace(texts)
+    flat, ends = found.values, found.offsets.to_numpy()
+    full = pc.binary_length(flat).to_numpy() > 0  # white space at a text's ends leaves empty words there
+    return flat.filter(pa.array(full)), np.diff(np.r_[0, np.cumsum(full)][ends])
+
+
+def raw(held: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of an array's strings, where each begins and its size."""
+    ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64) if len(held) else np.zeros(1, np.int64)
+    data = np.frombuffer(held.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(held) else np.zeros(0, np.uint8)
+    return data, ends[:-1] - ends[0], np.diff(ends)
+
+
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ 0xEDB88320, _CRC >> 1).astype(np.uint32)
+
+
+def crc32(held: pa.Array, side: int = 32) -> np.ndarray:
+    """zlib.crc32 of an array's strings: their first ``side`` bytes side by side, the rest of longer ones one by one."""
+    data, starts, sizes = raw(held)
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    got = np.full(len(held), 0xFFFFFFFF, np.uint32)
+    for k in range(min(side, int(sizes[0])) if len(held) else 0):
+        some = got[: np.searchsorted(-sizes, -k)]
+        some[:] = _CRC[(some ^ data[starts[: len(some)] + k]) & 255] ^ some >> 8
+    got ^= 0xFFFFFFFF
+    for k in range(np.searchsorted(-sizes, -side)):
+        got[k] = zlib.crc32(data[starts[k] + side : starts[k] + sizes[k]], int(got[k]))
+    out = np.empty_like(got)
+    out[order] = got
+    return out
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all documents; tasks count their own words before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.Array] = []
 
         def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
+            counts = pc.value_counts(pa.chunked_array(held, pa.string()))
+            held.clear()
+            return pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], ["word", "n"])
 
-        for batch in batches:
-            for t in batch.column(0):
-                seen.update(words(t.as_py()))
-                if len(seen) >= _FLUSH:
-                    yield rows()
-        if seen:
+        for some in portions((t.as_py() for b in batches for t in b.column(0)), _PORTION):
+            held.append(tokens(lowered(some))[0])
+            if sum(map(len, held)) >= _FLUSH:
+                yield rows()
+        if held:
             yield rows()
 
     return docs.select(F.col(text)).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -129,12 +183,14 @@ def spelling(table: np.ndarray) -> np.ndarray:
     return np.log((table + 1 / 16) / (table.sum(1, keepdims=True) + 16))
 
 
-def spelled(held: list[bytes], log: np.ndarray) -> np.ndarray:
+def spelled(held: list[bytes] | pa.Array, log: np.ndarray) -> np.ndarray:
     """Log-probability of each word's bytes and its end."""
-    if not held:
+    if not len(held):
         return np.empty(0)
-    flat = np.frombuffer(b"\0" + b"\0".join(held) + b"\0", np.uint8).astype(np.int64)
-    starts = np.r_[0, np.fromiter(map(len, held), np.int64, len(held)).cumsum()[:-1] + np.arange(1, len(held))]
+    data, starts, sizes = raw(held if isinstance(held, pa.Array) else pa.array(held, pa.binary()))
+    starts = starts + np.arange(len(held))
+    flat = np.zeros(len(data) + len(held) + 1, np.int64)
+    flat[np.arange(1, len(data) + 1) + np.repeat(np.arange(len(held)), sizes)] = data
     return np.add.reduceat(log.reshape(-1)[flat[:-1] << 8 | flat[1:]], starts)
 
 
@@ -150,6 +206,7 @@ class Coder(dict):
     def __init__(self, frequent: list[str], buckets: int = BUCKETS):
         self.first, self.buckets = layout(len(frequent), buckets)[1], buckets
         self.own = {w.encode(): k + 1 for k, w in enumerate(frequent)}
+        self.listed = pa.array(frequent, pa.string())
         super().__init__(self.own)
 
     def __missing__(self, word: bytes) -> int:
@@ -165,15 +222,22 @@ class Coder(dict):
     def rows(self, held: list[bytes]) -> list[int]:
         return list(map(self.__getitem__, held))
 
+    def encode(self, held: pa.Array) -> np.ndarray:
+        """``rows`` of an array of words; each distinct word is looked up once."""
+        found = held.dictionary_encode()
+        rows = pc.index_in(found.dictionary, value_set=self.listed).fill_null(-1).to_numpy() + np.int32(1)
+        rare = np.flatnonzero(rows == 0)
+        rows[rare] = self.first + crc32(found.dictionary.take(pa.array(rare))) % self.buckets
+        return rows[found.indices.to_numpy()]
 
-def stream(coded: list[list[int]]) -> np.ndarray:
+
+def stream(coded: Sequence[Sequence[int]]) -> np.ndarray:
     """The rows of several texts with edges between and around them."""
-    gap = [EDGE] * SIDE
-    out = list(gap)
+    gap = np.full(SIDE, EDGE, np.int32)
+    out = [gap]
     for c in coded:
-        out += c
-        out += gap
-    return np.fromiter(out, np.int32, len(out))
+        out += (np.asarray(c, np.int32), gap)
+    return np.concatenate(out)
 
 
 def windows(flat: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -214,9 +278,14 @@ class Network:
         }
         return cls({k: v.astype(dtype) for k, v in parts.items()})
 
-    def _hidden(self, context: np.ndarray) -> np.ndarray:
-        p = self.p
-        return np.tanh(sum((p["embed"][context[:, k]] @ p["mix"][k] for k in range(2 * SIDE)), p["shift"]))
+    @property
+    def _rows(self) -> type:
+        """A type of rows that sorts by radix, if they fit it."""
+        return np.uint16 if len(self.p["embed"]) < 1 << 16 else np.int64
+
+    def _stacked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of both softmaxes, their biases as a last row."""
+        return np.vstack([self.p["top"], self.p["top_bias"]]), np.concatenate([self.p["out"].transpose(0, 2, 1), self.p["out_bias"][:, None]], 1)
 
     @cached_property
     def _mixed(self) -> np.ndarray:
@@ -229,43 +298,42 @@ class Network:
         top = np.abs(self.p["top"]).sum(0) + self.p["top_bias"]
         return max(float(top.max()), float((np.abs(self.p["out"]).sum(2) + self.p["out_bias"]).max())) < 60
 
-    @staticmethod
-    def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, room: np.ndarray, bounded: bool) -> np.ndarray:
-        """Log-probabilities of the columns ``at``, one a row; ``room`` holds the logits."""
-        z = np.matmul(h, weights, out=room[: len(at) * weights.shape[1]].reshape(len(at), -1))
-        z += bias
-        if not bounded:
-            z -= z.max(1, keepdims=True)
-        mine = z[np.arange(len(at)), at]
-        np.exp(z, out=z)
-        return mine - np.log(z @ np.ones(z.shape[1], z.dtype))
-
-    def _by_cluster(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray]]]:
-        cluster, slot = np.divmod(target - 1, self.per)
-        order = np.argsort(cluster, kind="stable")
-        at = np.flatnonzero(np.r_[True, np.diff(cluster[order]) != 0])
-        ends = np.r_[at[1:], len(order)]
-        return cluster, slot, ((int(cluster[order[a]]), order[a:b]) for a, b in zip(at, ends))
-
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of each target row between its neighbours."""
-        out = np.empty(len(target))
-        if not len(target):
-            return out
-        h = np.empty((len(target), len(self.p["shift"])), self.p["shift"].dtype)
-        cluster, slot, groups = self._by_cluster(target)
-        room = np.empty(min(len(target), _SLICE) * max(len(self.p["top_bias"]), self.per), h.dtype)
-        for k in range(0, len(target), _SLICE):
-            part = slice(k, k + _SLICE)
-            h[part] = self.p["shift"]
+        """Of each target row between its neighbours. Sorted by target, a cluster's places lie together."""
+        p, n, kind = self.p, len(target), self.p["shift"].dtype
+        if not n:
+            return np.empty(0)
+        order = np.argsort(target.astype(self._rows), kind="stable")
+        cluster, slot = np.divmod(target[order] - 1, self.per)
+        size = len(p["shift"])
+        h, near = np.ones((n, size + 1), kind), np.empty((min(n, _NEAR), size), kind)  # the last column meets the bias
+        for k in range(0, n, _NEAR):
+            around = context[order[k : k + _NEAR]]
+            room = near[: len(around)]
+            h[k : k + _NEAR, :size] = p["shift"]
             for d in range(2 * SIDE):
-                h[part] += self._mixed[d][context[part, d]]
-            np.tanh(h[part], out=h[part])
-            out[part] = self._softmax(h[part], self.p["top"], self.p["top_bias"], cluster[part], room, self._bounded)
-        for g, at in groups:
-            for k in range(0, len(at), _SLICE):
-                part = at[k : k + _SLICE]
-                out[part] += self._softmax(h[part], self.p["out"][g].T, self.p["out_bias"][g], slot[part], room, self._bounded)
+                h[k : k + _NEAR, :size] += np.take(self._mixed[d], around[:, d], 0, room, "clip")
+            np.tanh(h[k : k + _NEAR, :size], out=h[k : k + _NEAR, :size])
+        top, low = self._stacked()
+        room, count, ones = np.empty(min(n, _SLICE) * max(top.shape[1], self.per), kind), np.arange(_SLICE), np.ones(max(top.shape[1], self.per), kind)
+        mine, total = np.empty((2, n), kind), np.empty((2, n), kind)
+
+        def descend(which: int, w: np.ndarray, a: int, b: int, at: np.ndarray) -> None:
+            z = np.matmul(h[a:b], w, out=room[: (b - a) * w.shape[1]].reshape(b - a, -1))
+            if not self._bounded:
+                z -= z.max(1, keepdims=True)
+            mine[which, a:b] = z[count[: b - a], at[a:b]]
+            np.exp(z, out=z)
+            np.matmul(z, ones[: w.shape[1]], out=total[which, a:b])
+
+        for k in range(0, n, _SLICE):
+            descend(0, top, k, min(k + _SLICE, n), cluster)
+        cuts = np.flatnonzero(np.r_[True, np.diff(cluster) != 0, True])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            for k in range(a, b, _SLICE):
+                descend(1, low[cluster[a]], k, min(k + _SLICE, b), slot)
+        out = np.empty(n)
+        out[order] = (mine - np.log(total)).sum(0)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
@@ -276,46 +344,48 @@ class Network:
         and divided by its total in the narrow factor, so its wide one is passed once.
         """
         p, n, kind = self.p, len(target), self.p["shift"].dtype
-        rows = np.uint16 if len(p["embed"]) < 1 << 16 else np.int64  # which sort by radix
-        order = np.argsort(target.astype(rows), kind="stable")
-        target, around = target[order], [context[:, k].astype(rows)[order] for k in range(2 * SIDE)]
-        near = [p["embed"][by] for by in around]
-        size = len(p["shift"])
+        order = np.argsort(target.astype(self._rows), kind="stable")
+        target, around = target[order], context[order]
+        size, (top, low) = len(p["shift"]), self._stacked()
         h = np.ones((n, size + 1), kind)  # the last column meets the bias
-        np.tanh(sum((e @ m for e, m in zip(near, p["mix"])), p["shift"]), out=h[:, :size])
-        top, low = np.vstack([p["top"], p["top_bias"]]), np.concatenate([p["out"].transpose(0, 2, 1), p["out_bias"][:, None]], 1)
+        near, mix = np.empty((n, 2 * SIDE, p["embed"].shape[1]), kind), p["mix"].reshape(-1, size)
+        for k in range(0, n, _NEAR):
+            part = slice(k, min(k + _NEAR, n))
+            into = np.take(p["embed"], around[part], 0, near[part], "clip").reshape(-1, len(mix)) @ mix
+            into += p["shift"]
+            np.tanh(into, out=h[part, :size])
         bounded = [float((np.abs(w[..., :size, :]).sum(-2) + w[..., size, :]).max()) < 60 for w in (top, low)]
         cluster, slot = np.divmod(target - 1, self.per)
-        dh, loss = np.zeros((n, size), kind), 0.0
-        room = np.empty(min(n, _SLICE) * max(top.shape[1], self.per), kind)
-
-        def descend(w: np.ndarray, back: np.ndarray, at: np.ndarray, part: slice, bounded: bool) -> np.ndarray:
-            """What a slice of the batch expects of a softmax's weights; its part of the loss and of ``dh``."""
-            nonlocal loss
-            z = np.matmul(h[part], w, out=room[: len(at) * w.shape[1]].reshape(len(at), -1))
-            if not bounded:
+        dh, extra = np.empty((n, size), kind), np.empty((_SLICE, size), kind)
+        wide = max(top.shape[1], self.per)
+        room, count, ones = np.empty(min(n, _SLICE) * wide, kind), np.arange(_SLICE), np.ones(wide, kind)
+        mine, total = np.empty((2, n), kind), np.empty((2, n), kind)
+
+        def descend(which: int, w: np.ndarray, back: np.ndarray, a: int, b: int, at: np.ndarray, into: np.ndarray) -> np.ndarray:
+            """What a slice of the batch expects of a softmax's weights; its part of the loss, and ``into`` what it expects of the rows."""
+            z = np.matmul(h[a:b], w, out=room[: (b - a) * w.shape[1]].reshape(b - a, -1))
+            if not bounded[which]:
                 z -= z.max(1, keepdims=True)
-            mine = z[np.arange(len(at)), at]
+            mine[which, a:b] = z[count[: b - a], at[a:b]]
             np.exp(z, out=z)
-            total = z @ np.ones(z.shape[1], kind)
-            loss += float(np.log(total).sum(dtype=np.float64) - mine.sum(dtype=np.float64))
-            total = 1 / total[:, None]
-            d = z @ back
-            d *= total
-            d -= back[at]
-            dh[part] += d
-            return (h[part] * total).T @ z
+            share = 1 / np.matmul(z, ones[: w.shape[1]], out=total[which, a:b])[:, None]
+            np.matmul(z, back, out=into)
+            into *= share
+            return (h[a:b] * share).T @ z
 
         d_top, d_low, back = np.zeros_like(top), np.zeros_like(low), np.ascontiguousarray(p["top"].T)
         for k in range(0, n, _SLICE):
-            part = slice(k, min(k + _SLICE, n))
-            d_top += descend(top, back, cluster[part], part, bounded[0])
+            d_top += descend(0, top, back, k, min(k + _SLICE, n), cluster, dh[k : k + _SLICE])
         cuts = np.flatnonzero(np.r_[True, np.diff(cluster) != 0, True])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             g = cluster[a]
+            dh[a:b] -= back[g]
             for k in range(a, b, _SLICE):
-                part = slice(k, min(k + _SLICE, b))
-                d_low[g] += descend(low[g], p["out"][g], slot[part], part, bounded[1])
+                to = min(k + _SLICE, b)
+                d_low[g] += descend(1, low[g], p["out"][g], k, to, slot, extra[: to - k])
+                dh[k:to] += extra[: to - k]
+        dh -= np.take(p["out"].reshape(-1, size), target - 1, 0)
+        loss = float(np.log(total).sum(dtype=np.float64) - mine.sum(dtype=np.float64))
         first = np.flatnonzero(np.r_[True, np.diff(target) != 0])
         there = np.add.reduceat(h, first, axis=0)
         d_low[cluster[first], :, slot[first]] -= there
@@ -324,16 +394,13 @@ class Network:
         d_low /= n
         grads: dict = {"top": d_top[:size], "top_bias": d_top[size], "out": d_low[:, :size].transpose(0, 2, 1), "out_bias": d_low[:, size]}
         hidden = h[:, :size]
-        da = dh * (1 - hidden * hidden) / n
+        da = dh * (1 - hidden * hidden)
+        da /= n
         grads["shift"] = da.sum(0)
-        grads["mix"] = np.stack([e.T @ da for e in near])
-        moved = np.zeros_like(p["embed"])
-        for k, by in enumerate(around):
-            order = np.argsort(by, kind="stable")
-            by = by[order]
-            first = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
-            moved[by[first]] += np.add.reduceat(da[order], first, axis=0) @ p["mix"][k].T
-        grads["embed"] = moved
+        grads["mix"] = (near.reshape(n, -1).T @ da).reshape(p["mix"].shape)
+        moved = (p["mix"].transpose(1, 0, 2).reshape(-1, size) @ da.T).reshape(near.shape[2], -1)  # of each value of an embedding, by neighbours
+        places = around.T.reshape(-1).astype(np.int64)
+        grads["embed"] = np.stack([np.bincount(places, m, len(p["embed"])) for m in moved], 1).astype(kind)
         return loss / n, grads
 
     def update(self, grads: dict, squares: dict[str, np.ndarray], rate: float) -> None:
@@ -375,12 +442,14 @@ def fit_partition(net: Network, texts: Iterator[str | None], coder: Coder, seed:
             done += len(part)
             loss += one * len(part)
 
-    for t in texts:
-        held.append(coder.rows(words(t)))
-        size += len(held[-1])
-        if size * masked >= 8 * batch:
-            step(stream(held))
-            held, size = [], 0
+    for some in portions(texts, _PORTION):
+        found, sizes = tokens(lowered(some))
+        for one in np.split(coder.encode(found), np.cumsum(sizes)[:-1]):
+            held.append(one)
+            size += len(one)
+            if size * masked >= 8 * batch:
+                step(stream(held))
+                held, size = [], 0
     if held:
         step(stream(held))
     return net, done, loss / max(done, 1)
@@ -557,15 +626,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", ident: str = "doc_i
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, parts, _, log, counted = shared.value
         coder, net = Coder(frequent, buckets), Network(parts)
-        own, part, done = coder.own, TaskContext.get().partitionId(), 0
+        more, times = pa.array(list(counted), pa.string()), np.array([0, *counted.values()], np.int64)
+        part, done = TaskContext.get().partitionId(), 0
         idents, sizes, lines_of = [], [], []  # of the chunk's documents: id, words, lines
         coded, line_sizes = [], []  # of the texts that wait: rows, and how many words each line has
         common, rares, net_values, rare_rows = [], [], [], []  # of the chunk's lines: frequent words' sum, rare words; of the rare words: the network's value, row
-        tail: list[int] = []  # the rare words, as places in the chunk's list
-        line_places: list[int] = []
-        words_held: dict[bytes, int] = {}
-        lines_held: dict[bytes, int] = {}
-        line_counts: Counter = Counter()
+        tail: list[pa.Array] = []  # the rare words
+        line_names: list[pa.Array] = []
         many = waiting = 0
         schema = None
 
@@ -586,6 +653,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", ident: str = "doc_i
             line_sizes.clear()
             waiting = 0
 
+        def listed(held: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+            """The distinct ones of all, and each one's place among them."""
+            found = pa.chunked_array(held, pa.string()).combine_chunks().dictionary_encode()
+            return found.dictionary, found.indices.to_numpy()
+
         arrays = ("lines_of", "common", "rares", "net", "tail", "lines", "bucket", "spell", "counted")
 
         def batch(n: int, /, **given) -> pa.RecordBatch:
@@ -597,48 +669,46 @@ def score(docs: DataFrame, model: Model, text: str = "text", ident: str = "doc_i
         def rows() -> Iterator[pa.RecordBatch]:
             nonlocal done, many
             predict()
-            held, places = list(words_held), np.array(tail, "<i4")
+            held, places = listed(tail)
             bucket = np.zeros(len(held), "<i4")
             bucket[places] = np.concatenate(rare_rows)
             yield batch(len(idents), kind=0, ident=idents, size=sizes, place=np.arange(len(idents), dtype=np.int32))
-            known = np.array([counted.get(w, 0) for w in held], np.int64)
-            made = (np.array(lines_of, "<i4"), *(np.concatenate(x) for x in (common, rares, net_values)), places, np.array(line_places, "<i4"), bucket, spelled(held, log).astype(np.float16), known)
+            known = times[pc.index_in(held, value_set=more).fill_null(-1).to_numpy() + 1]
+            names, line_places = listed(line_names)
+            made = (np.array(lines_of, "<i4"), *(np.concatenate(x) for x in (common, rares, net_values)), places.astype("<i4"), line_places.astype("<i4"), bucket, spelled(held, log).astype(np.float16), known)
             yield batch(1, kind=1, **{c: [a.tobytes()] for c, a in zip(arrays, made)})
             asked = np.flatnonzero(known == 0).astype(np.int32)
             for k in range(0, len(asked), 1 << 17):
                 cut = asked[k : k + (1 << 17)]
-                yield batch(len(cut), kind=2, key=keys([held[x] for x in cut]), place=cut)
-            names = list(lines_held)
+                yield batch(len(cut), kind=2, key=keys(held.take(pa.array(cut)).to_pylist()), place=cut)
+            line_counts = np.bincount(line_places, minlength=len(names))
             for k in range(0, len(names), 1 << 17):
-                cut = names[k : k + (1 << 17)]
-                yield batch(len(cut), kind=3, key=keys(cut), place=np.arange(k, k + len(cut), dtype=np.int32), n=[line_counts[x] for x in cut])
-            for x in (idents, sizes, lines_of, common, rares, net_values, rare_rows, tail, line_places, words_held, lines_held, line_counts):
+                cut = names.slice(k, 1 << 17).to_pylist()
+                yield batch(len(cut), kind=3, key=keys(cut), place=np.arange(k, k + len(cut), dtype=np.int32), n=line_counts[k : k + len(cut)])
+            for x in (idents, sizes, lines_of, common, rares, net_values, rare_rows, tail, line_names):
                 x.clear()
             done, many = done + 1, 0
 
-        first = coder.first
         for b in batches:
-            schema = b.schema
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                held, before = [], len(line_sizes)
-                for line in (t.as_py() or "").lower().encode().split(b"\n"):
-                    found = line.split()
-                    if found:
-                        held += found
-                        line_sizes.append(len(found))
-                        if within:
-                            name = b" ".join(found)
-                            line_counts[name] += 1
-                            line_places.append(lines_held.setdefault(name, len(lines_held)))
-                made = coder.rows(held)
-                put = words_held.setdefault
-                tail += [put(w, len(words_held)) for w, r in zip(held, made) if r >= first]
-                coded.append(made)
-                idents.append(i)
-                sizes.append(len(held))
-                lines_of.append(len(line_sizes) - before)
-                many += len(held)
-                waiting += len(held)
+            schema, after = b.schema, b.column(0).to_pylist()
+            for some in portions((t.as_py() for t in b.column(1)), min(_PORTION, 2 * _CHUNK)):
+                split = pc.split_pattern(lowered(some), "\n")
+                found, in_line = tokens(split.values)
+                made = coder.encode(found)
+                ends = np.r_[0, np.cumsum(in_line)]
+                if within:
+                    line_names.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found), " ").filter(pa.array(in_line > 0)))
+                tail.append(found.filter(pa.array(made >= coder.first)))
+                line_sizes += in_line[in_line > 0].tolist()
+                cuts = split.offsets.to_numpy()
+                in_text = np.diff(ends[cuts])
+                coded += np.split(made, np.cumsum(in_text)[:-1])
+                sizes += in_text.tolist()
+                lines_of += np.diff(np.r_[0, np.cumsum(in_line > 0)][cuts]).tolist()
+                idents += after[: len(some)]
+                del after[: len(some)]
+                many += len(made)
+                waiting += len(made)
                 if waiting >= _WAITING:
                     predict()
                 if many >= _CHUNK or len(idents) >= 50_000:

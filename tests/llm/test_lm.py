@@ -165,6 +165,59 @@ def test_every_position_is_trained_on(spark, monkeypatch):
     assert shipped == [1.0] * lm.ROUNDS
 
 
+ODD = ["", None, "  two  Words\n", "\n", "a\tb\x0bc\x0cd\re", "x\x1cy z\x85w q\u3000r", "\u0130x \u03a3\u0391\u03a3 \u00c9t\u00e9", "nul\0nul \0", "w" * 31, "w" * 32 + " " + "w" * 33, "é" * 500, "the end the END"]
+
+
+def test_arrays_of_words_are_as_words_one_by_one():
+    found, sizes = lm.tokens(lm.lowered(ODD))
+    plain = [lm.words(t) for t in ODD]
+    assert sizes.tolist() == list(map(len, plain)) and found.cast("binary").to_pylist() == sum(plain, [])
+    coder = lm.Coder(["the", "w" * 32, "été", "two"], 7)
+    assert coder.encode(found).tolist() == coder.rows(sum(plain, []))
+    assert coder.encode(found.slice(3, 9)).tolist() == coder.rows(sum(plain, [])[3:12]) and coder.encode(found[:0]).tolist() == []
+    for part in (found, found.slice(5), found[:0]):
+        held = part.cast("binary").to_pylist()
+        assert lm.crc32(part).tolist() == lm.crc32(part, 3).tolist() == list(map(zlib.crc32, held))
+        log = np.log(np.random.default_rng(2).random((256, 256)))
+        assert lm.spelled(part, log) == pytest.approx([sum(log[x] for x in zip(b"\0" + w, w + b"\0")) for w in held])
+    for most in (1, 5, 1000):
+        some = list(lm.portions(ODD, most))
+        assert sum(some, []) == ODD and all(some)
+
+
+def test_training_looks_distinct_words_up_once(monkeypatch):
+    """Not every word: what a text's rows cost is shared by all that repeat a word."""
+    texts = [*corpus(), *ODD]
+    coder = lm.Coder(["the", "cat", "sat"], 4)
+    want = Counter(r for t in texts for r in coder.rows(lm.words(t)))
+    asked, seen, gradient, crc32 = [], Counter(), lm.Network.gradient, getattr(lm, "crc32", None)
+
+    def one_by_one(self, held):
+        raise AssertionError("words are looked up one by one")
+
+    monkeypatch.setattr(lm.Coder, "rows", one_by_one)
+    monkeypatch.setattr(lm, "crc32", lambda held: (asked.extend(held.to_pylist()), crc32(held))[1], raising=False)
+    monkeypatch.setattr(lm.Network, "gradient", lambda self, context, target: (seen.update(target.tolist()), gradient(self, context, target))[1])
+    done = lm.fit_partition(lm.Network.fresh(np.ones(3), np.ones(4), 3, 4), iter(texts), coder, (1,), 0.1)[1]
+    assert seen == want and done == want.total()
+    assert len(asked) == len(set(asked)) < 60
+
+
+@pytest.mark.parametrize("slice_", [3, 512])
+def test_gradient_over_slices(tiny, monkeypatch, slice_):
+    """Slices, of the softmaxes and of the neighbours, change nothing."""
+    net, _, _ = tiny
+    rng = np.random.default_rng(8)
+    context, target = rng.integers(0, 13, (70, 4)), rng.choice([*range(1, 9), 9, 10, 11], 70)
+    loss, whole = net.gradient(context, target)
+    monkeypatch.setattr(lm, "_SLICE", slice_)
+    monkeypatch.setattr(lm, "_NEAR", 5)
+    again, parts = net.gradient(context, target)
+    assert again == pytest.approx(loss) == pytest.approx(-naive(net, context, target).mean())
+    assert all(parts[n] == pytest.approx(whole[n]) for n in net.p)
+    assert lm.Network(net.p).log_probabilities(context, target) == pytest.approx(naive(net, context, target))
+
+
 def test_unbounded_logits_by_brute_force(tiny):
     net, context, target = tiny
     net.p["top_bias"] = net.p["top_bias"] + 800
